@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm.common import table
 from maskwright.llm.media import media_digests
+from maskwright.llm.pieces import piece_digests
+
+#: The SentencePiece model that op3 encodes with.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_pieces": op3_pieces, "op10_media": op10_media}
 
 ORACLES: dict[str, str] = {}
