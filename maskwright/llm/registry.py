@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from maskwright.llm import languages, toxicity
 from maskwright.llm.common import table
 from maskwright.llm.media import media_digests
 from maskwright.llm.pieces import piece_digests
@@ -19,10 +21,26 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def fold_of(column: str, modulus: int) -> Column:
+    """crc32 of the decimal id, modulo (as ``common.crc_mod``)."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold_of("id", 5) != 0)
+    return toxicity.score_toxicity(docs, model, fold=0)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.learn(docs, fold_of("doc_id", 3) != 1), fold=1)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_pieces": op3_pieces, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_pieces": op3_pieces, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_media": op10_media}
 
 ORACLES: dict[str, str] = {}
