@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import languages, toxicity
+from maskwright.llm import languages, simhash, toxicity
 from maskwright.llm.common import table
 from maskwright.llm.media import media_digests
 from maskwright.llm.pieces import piece_digests
@@ -17,6 +17,10 @@ from maskwright.llm.pieces import piece_digests
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), PIECES)
 
@@ -41,6 +45,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_pieces": op3_pieces, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_media": op10_media}
 
 ORACLES: dict[str, str] = {}
