@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import languages, simhash, toxicity
+from maskwright.llm import languages, simhash, topk, toxicity
 from maskwright.llm.common import table
 from maskwright.llm.media import media_digests
 from maskwright.llm.pieces import piece_digests
@@ -36,6 +36,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, fold=0)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return languages.identify(docs, languages.learn(docs, fold_of("doc_id", 3) != 1), fold=1)
@@ -45,6 +49,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_topk": topk.TOP_K_SQL}
