@@ -236,7 +236,9 @@ def learn(docs: DataFrame, eligible: Column, id_column: str = "doc_id", text_col
     known = rows.select("lang").distinct().limit(IN_ALL + 1).count()
     each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, known)))
     spread = F.xxhash64(F.col("id").cast("string"), F.lit(7))
-    first = rows.select("id", "lang", spread.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each)
+    first = rows.select("id", "lang", spread.alias("h"))
+    for keys in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # a common language is cut down in parts first
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(F.col("n") <= each)
     chosen = first.orderBy("n", "lang").limit(IN_ALL).select(F.col("id").alias("chosen"))
     picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi")  # at most IN_ALL ids
     samples: dict[str, list[str]] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import languages, secrets, simhash, topk, toxicity
+from maskwright.llm import languages, mixing, secrets, simhash, topk, toxicity
 from maskwright.llm.common import table
 from maskwright.llm.media import media_digests
 from maskwright.llm.pieces import piece_digests
@@ -17,6 +17,10 @@ from maskwright.llm.pieces import piece_digests
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op4_secrets": op4_secrets, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op4_secrets": op4_secrets, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
 
 ORACLES: dict[str, str] = {"op4_secrets": secrets.SECRETS_SQL, "op8_topk": topk.TOP_K_SQL}
