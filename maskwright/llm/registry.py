@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import languages, mixing, secrets, simhash, topk, toxicity
+from maskwright.llm import languages, mixing, secrets, simhash, substrings, topk, toxicity
 from maskwright.llm.common import table
 from maskwright.llm.media import media_digests
 from maskwright.llm.pieces import piece_digests
@@ -38,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold_of("id", 5) != 0)
@@ -57,6 +61,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op4_secrets": op4_secrets, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op4_secrets": op4_secrets, "op6_repeats": op6_repeats, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
 
-ORACLES: dict[str, str] = {"op4_secrets": secrets.SECRETS_SQL, "op8_topk": topk.TOP_K_SQL}
+ORACLES: dict[str, str] = {"op4_secrets": secrets.SECRETS_SQL, "op6_repeats": substrings.REPEATS_SQL, "op8_topk": topk.TOP_K_SQL}
