@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import languages, mixing, secrets, simhash, substrings, topk, toxicity
-from maskwright.llm.common import table
+from maskwright.llm.common import fold_of, table
+from maskwright.llm.html import extract_pages
 from maskwright.llm.media import media_digests
 from maskwright.llm.pieces import piece_digests
 
@@ -29,15 +30,14 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
-def fold_of(column: str, modulus: int) -> Column:
-    """crc32 of the decimal id, modulo (as ``common.crc_mod``)."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
-
-
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
@@ -61,6 +61,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op4_secrets": op4_secrets, "op6_repeats": op6_repeats, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_pieces": op3_pieces, "op4_secrets": op4_secrets, "op5_html": op5_html, "op6_repeats": op6_repeats, "op7_toxicity": op7_toxicity, "op8_topk": op8_topk, "op9_language": op9_language, "op10_media": op10_media}
 
 ORACLES: dict[str, str] = {"op4_secrets": secrets.SECRETS_SQL, "op6_repeats": substrings.REPEATS_SQL, "op8_topk": topk.TOP_K_SQL}
