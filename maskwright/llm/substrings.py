@@ -429,30 +429,33 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     kind = docs.schema[id_column].dataType.simpleString()
-    given = docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[id_column].cast("long"), F.lit(int(_NO_ID))).alias("id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
+    given = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(int(_NO_ID))).alias("id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     twice = given.groupBy("id").count().where("count > 1").limit(1).count()
     variant = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int") if twice else F.lit(0)
-    given = given.select("doc_id", "id", variant.alias("variant"), "text")
+    given = given.select("id", variant.alias("variant"), "text")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * PER_BUCKET)))
     buckets = max(4 * partitions, -(-size // PER_BUCKET))
-    records = given.select("id", "variant", "text").mapInArrow(_anchor_step(buckets), _MARKS)
+    records = given.mapInArrow(_anchor_step(buckets), _MARKS)
     # marks of step 1 are dealt out by id, blobs by bucket
     dealt = records.repartition(partitions, F.coalesce(F.col("bucket").cast("long"), F.col("id"))).sortWithinPartitions("bucket")
     marks = _written(dealt.mapInArrow(_meet_step, _MARKS).select("id", "variant", "position", "kind"))
     del records, dealt
     _tidy(spark)
-    keys = ["id", "variant"]
-    texts_by_id = given.select("doc_id", "id", "variant", "text").repartition(partitions, *keys)
-    going_on = marks.where(f"kind <> {_WHOLE}").groupBy(*keys).agg(F.collect_list(F.when(F.col("kind") == _OPEN, F.col("position"))).alias("open"), F.collect_list(F.when(F.col("kind") == _CROWDED, F.col("position"))).alias("crowded"))
-    cut = texts_by_id.drop("doc_id").join(going_on, keys).select("id", "variant", "text", "open", "crowded")
+    # the same rows on both sides of the plan below, so that the texts are shuffled once
+    keys = ["id", "variant"] if twice else ["id"]
+    own = given if twice else given.select("id", "text")
+    position = F.col("position")
+    going_on = marks.where(f"kind <> {_WHOLE}").groupBy(*keys).agg(F.collect_list(F.when(F.col("kind") == _OPEN, position)).alias("open"), F.collect_list(F.when(F.col("kind") == _CROWDED, position)).alias("crowded"))
+    cut = own.join(going_on, keys)
     if twice:  # equal rows: once is enough
         cut = cut.dropDuplicates(keys)
+    cut = cut.select("id", F.col("variant") if twice else F.lit(0).alias("variant"), "text", "open", "crowded")
     contexts = cut.mapInArrow(_context_step, "key long, id long, variant int, position int, edges int, context binary")
     runs = contexts.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_sort_step, "id long, variant int, start int, stop int")
-    whole = marks.where(f"kind = {_WHOLE}").select("id", "variant", (F.col("position") - REACH).alias("start"), (F.col("position") + ANCHOR + REACH).alias("stop"))
+    whole = marks.where(f"kind = {_WHOLE}").select("id", "variant", (position - REACH).alias("start"), (position + ANCHOR + REACH).alias("stop"))
     every = whole.union(runs).groupBy(*keys).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = texts_by_id.join(every, keys, "left").select("doc_id", "variant", "text", "starts", "stops")
+    joined = own.join(every, keys, "left").select(F.when(F.col("id") != int(_NO_ID), F.col("id")).cast(kind).alias("doc_id"), F.lit(0).alias("variant"), "text", "starts", "stops")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     return joined.mapInArrow(lambda batches: _cut_step(batches, with_bytes), schema)
 
