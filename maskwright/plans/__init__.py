@@ -1 +1 @@
-
+"""Driver-side planning over small integers, and the pipeline."""

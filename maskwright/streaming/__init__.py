@@ -1 +1 @@
-
+"""Jobs as a stream."""
