@@ -40,6 +40,8 @@ class Settings:
     #: Column sets counted in one job, and treatments between checkpoints.
     sets_per_job: int = 64
     checkpoint_every: int = 4
+    #: Searches and treatments in a row; after the first they go over what the one before left (supersets too).
+    rounds: int = 1
     drop_isolated: bool = False
     falsification: bool = False
     seed: int = 42

@@ -53,13 +53,13 @@ def penalties(df: DataFrame, part: str, qi: Sequence[str], taxonomies: Mapping[s
     """(ncp, dp): normalised certainty penalty in per cent, of numeric columns by their ranges, and discernibility."""
     taxonomies = taxonomies or {}
     numeric = [c for c in qi if c not in taxonomies]
-    whole = df.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).cast("double").alias(f"r_{c}") for c in numeric])
+    whole = df.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first()
     each = df.groupBy(part).agg(F.count("*").alias("size"), *[(F.max(c) - F.min(c)).cast("double").alias(f"w_{c}") for c in numeric])
     width = F.lit(0.0)
     for c in numeric:
-        width = width + F.coalesce(F.try_divide(F.col(f"w_{c}"), F.col(f"r_{c}")), F.lit(0.0))
-    joined = each.crossJoin(F.broadcast(whole))  # one row
-    return joined.agg((F.sum(F.col("size") * width) / (len(qi) * F.max("n")) * 100).alias("ncp"), F.sum(F.col("size") * F.col("size")).alias("dp"))
+        if whole[c]:
+            width = width + F.coalesce(F.col(f"w_{c}") / whole[c], F.lit(0.0))
+    return each.agg((F.sum(F.col("size") * width) / (len(qi) * max(whole["n"], 1)) * 100).alias("ncp"), F.sum(F.col("size") * F.col("size")).alias("dp"))
 
 
 def with_taxonomy(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
@@ -95,13 +95,16 @@ def mondrian(df: DataFrame, sensitive: str, l: int, qi: Sequence[str] | None = N
     whole = l_diversity(rows.where("_open"), ["part_id"], sensitive, l).first()
     if whole is None or not whole["diverse"]:
         rows = rows.withColumn("_open", F.lit(False))
-    for number in range(max_rounds):
+    out = None
+    for number in range(max_rounds):  # only open partitions go on to the next round
         rows.write.parquet(f"{base}/{number}")
         rows = spark.read.schema(rows.schema).parquet(f"{base}/{number}")
-        if not rows.where("_open").limit(1).count():
+        closed = rows.where("not _open") if number < max_rounds - 1 else rows
+        out = closed if out is None else out.union(closed)
+        rows = rows.where("_open")
+        if not rows.limit(1).count():
             break
         rows = _round(rows, qi, taxonomies, ranges, sensitive, l, everything)
-    out = rows
     for c in qi:
         over = Window.partitionBy("part_id")
         if c in taxonomies:
@@ -120,8 +123,7 @@ def _shared(spark) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def _round(rows: DataFrame, qi: Sequence[str], taxonomies: Mapping[str, DataFrame], ranges, sensitive: str, l: int, everything: int) -> DataFrame:  # noqa: E741
-    open_rows = rows.where("_open")
+def _round(open_rows: DataFrame, qi: Sequence[str], taxonomies: Mapping[str, DataFrame], ranges, sensitive: str, l: int, everything: int) -> DataFrame:  # noqa: E741
     wide = {}
     aggs = []
     for i, c in enumerate(qi):
@@ -158,4 +160,4 @@ def _round(rows: DataFrame, qi: Sequence[str], taxonomies: Mapping[str, DataFram
     for c in taxonomies:
         settled = settled.withColumn(f"_depth_{c}", F.col(f"_depth_{c}") + F.when(F.col("_holds") & is_category & (F.col("_dim") == c), 1).otherwise(0))
     settled = settled.withColumns({"part_id": part, "_allowed": allowed, "_open": still})
-    return settled.select(*rows.columns).union(rows.where("not _open"))
+    return settled.select(*open_rows.columns)

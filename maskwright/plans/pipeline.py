@@ -93,8 +93,16 @@ class AnonymizationPipeline:
             outcome.search = self.find(ready, entropies)
             outcome.metrics |= {"search_seconds": time.time() - began, "quasi_identifiers": len(outcome.search.found), "evaluated": outcome.search.evaluated}
             if treat:
-                began = time.time()
-                outcome.table, outcome.choices, outcome.outstanding, changed = self.treat(ready, outcome.search)
+                began, changed, result = time.time(), 0, outcome.search
+                for number in range(self.settings.rounds):
+                    if number:
+                        result = search(outcome.table, self.settings)
+                    outcome.table, choices, outstanding, n = self.treat(outcome.table, result)
+                    outcome.choices += choices
+                    outcome.outstanding += [q for q in outstanding if q not in outcome.outstanding]
+                    changed += n
+                    if not any(c.treatment != "compartmentation" for c in choices):
+                        break
                 outcome.compartments = parts_of.compartments(ready.columns, outcome.outstanding, self.settings.drop_isolated)
                 outcome.metrics |= {"treatment_seconds": time.time() - began, "changed_values": changed, "compartments": len(outcome.compartments)}
         if score:
