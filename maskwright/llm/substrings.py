@@ -36,14 +36,13 @@ their bytes, respectively.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import ensure_checkpoint_dir, slices, texts
@@ -410,20 +409,26 @@ def _cut_step(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[p
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: unlike a checkpoint it is compressed; cuts the lineage all the same."""
+    """The rows as a table in the shared folder: unlike a checkpoint it is compressed; cuts the lineage all the same.
+
+    The write's own shuffle files are of no use after it, and Spark is told to
+    remove them then (they would lie there until the driver collects garbage).
+    """
     spark = df.sparkSession
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done with."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; ``kept`` are the remaining bytes (only ``with_bytes``)."""
     spark = docs.sparkSession
@@ -440,8 +445,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # marks of step 1 are dealt out by id, blobs by bucket
     dealt = records.repartition(partitions, F.coalesce(F.col("bucket").cast("long"), F.col("id"))).sortWithinPartitions("bucket")
     marks = _written(dealt.mapInArrow(_meet_step, _MARKS).select("id", "variant", "position", "kind"))
-    del records, dealt
-    _tidy(spark)
     # the same rows on both sides of the plan below, so that the texts are shuffled once
     keys = ["id", "variant"] if twice else ["id"]
     own = given if twice else given.select("id", "text")
