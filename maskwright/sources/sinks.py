@@ -45,11 +45,16 @@ def write_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
-def write_jdbc(df: DataFrame, url: str, name: str, properties: Mapping[str, Any] | None = None, width: int = 255, batch: int = 10_000) -> None:
-    """A database table, dropped and made anew, every column varchar; values are bound by the driver, never quoted by hand."""
+def write_jdbc(df: DataFrame, url: str, name: str, properties: Mapping[str, Any] | None = None, width: int | None = 255, batch: int = 10_000) -> None:
+    """A database table, dropped and made anew, every column text of ``width`` (None: the database's own text type).
+
+    Values are bound by the driver, never quoted by hand.
+    """
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    kinds = ", ".join(f"`{c}` VARCHAR({width})" for c in df.columns)
-    text.write.option("createTableColumnTypes", kinds).option("batchsize", batch).jdbc(url, name, mode="overwrite", properties=dict(properties or {}))
+    writer = text.write.option("batchsize", batch)
+    if width:
+        writer = writer.option("createTableColumnTypes", ", ".join(f"`{c}` VARCHAR({width})" for c in df.columns))
+    writer.jdbc(url, name, mode="overwrite", properties=dict(properties or {}))
 
 
 def store_compartments(df: DataFrame, parts: Sequence[Sequence[str]], name: str, write=write_table) -> list[str]:

@@ -103,3 +103,12 @@ def test_entry_and_registered_queries(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_jdbc_sink(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(1, "it's"), (2, None)], "n int, s string")
+    for _ in range(2):  # replaced, not appended to
+        sinks.write_jdbc(df, url, "stored", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, width=None)
+    back = spark.read.jdbc(url, "stored", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    assert sorted((r[0], r[1]) for r in back.collect()) == [("1", "it's"), ("2", None)]
