@@ -22,6 +22,7 @@ read.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from maskwright.llm.common import crc_mod, slices
 
@@ -233,18 +233,25 @@ def learn(docs: DataFrame, eligible: Column, id_column: str = "doc_id", text_col
     """Models fitted on the bounded sample of the ``eligible`` rows."""
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), docs[lang_column].alias("lang"), eligible.alias("ok"))
     rows = rows.where("ok and lang is not null and text is not null").where(F.length("text").between(1, LONGEST))
-    known = rows.select("lang").distinct().limit(IN_ALL + 1).count()
-    each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, known)))
-    spread = F.xxhash64(F.col("id").cast("string"), F.lit(7))
-    first = rows.select("id", "lang", spread.alias("h"))
-    for keys in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # a common language is cut down in parts first
-        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(F.col("n") <= each)
-    chosen = first.orderBy("n", "lang").limit(IN_ALL).select(F.col("id").alias("chosen"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(IN_ALL).collect()
+    each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, len(counts))))
+    # a share of each language, by the hash of the id: about `each` documents, without a sort by language
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, share double")
+    h = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit(7)), 11) * (2.0**-53)
+    first = rows.select("id", "lang", h.alias("h")).join(F.broadcast(shares), "lang").where("h < share")  # at most IN_ALL rows are broadcast
+    chosen = first.orderBy(F.col("h") / F.col("share"), "id").limit(IN_ALL).select(F.col("id").alias("chosen"))
     picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi")  # at most IN_ALL ids
-    samples: dict[str, list[str]] = {}
-    for r in sorted(picked.select("lang", "text", "id").collect(), key=lambda r: (r["lang"], r["id"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return fit(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        samples: dict[str, list[str]] = {}
+        for lang, _, text in rows:
+            samples.setdefault(lang, []).append(text)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(samples))], pa.binary())], names=["models"])
+
+    # the bounded sample is fitted in one task, so that the driver holds only the models
+    fitted = picked.select("lang", "id", "text").repartition(1).mapInArrow(run, "models binary").collect()
+    return pickle.loads(fitted[0]["models"]) if fitted else LanguageModels()
 
 
 def identify(docs: DataFrame, models: LanguageModels, id_column: str = "doc_id", text_column: str = "text", fold: int | None = None) -> DataFrame:
