@@ -51,6 +51,7 @@ NOISE = frozenset("head script style noscript template iframe svg nav aside foot
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars sidenav rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar header footer masthead copyright comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager skip search contentinfo complementary announcement disclaimer tracking hidden".split()
 )
+OWN_WORDS = frozenset("article post entry story content".split())
 CLOSES = {**{t: frozenset(["p"]) for t in BLOCK - {"body", "html"}}, "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 SCOPES = {"li": frozenset("ul ol menu dir".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset("tr table".split()), "th": frozenset("tr table".split()), "option": frozenset(["select"])}
 
@@ -145,7 +146,9 @@ def _mark(root: Node) -> None:
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
     for node in reversed(order):
-        named = not NOISE_WORDS.isdisjoint(node.words)
+        named = NOISE_WORDS & node.words
+        if named == {"header"} and not OWN_WORDS.isdisjoint(node.words):
+            named = frozenset()  # the article's own head
         node.main = node.tag in ("article", "main") and not named or "main" in node.words and not named or any(c.main for c in node.children if isinstance(c, Node) and not c.noise)
         if named and not node.main and node.tag not in ("html", "body", "p", *HEADINGS):
             node.noise = True

@@ -299,6 +299,7 @@ def test_extraction():
     assert html.extract(PAGE.format(title="Big  title", one="first")) == "Big title\nfirst\ntwo & three<.\na\nb\nThanks for reading our site"
     assert html.extract("") == "" and html.extract("plain &eacute; text") == "plain é text"
     assert html.extract("<main><p>x</main><p>y") == "x" and html.extract("<p>x</p><!-- <p>z</p> --><p>y") == "x\ny"
+    assert html.extract('<div class="post-header"><h1>T</h1></div><p>x<div class="post-footer">f</div><div id="header">h</div>') == "T\nx"
     assert html.extract("<article><p>unclosed <b>bold<p>next</article>") == "unclosed bold\nnext"
     assert html.extract("<div><p>a</div></div></p><td>b<" + "<div>" * 3000) .startswith("a\nb")
 
