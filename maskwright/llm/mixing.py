@@ -35,6 +35,8 @@ from maskwright.llm.common import ensure_checkpoint_dir
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 64
+#: Sources up to which their table (a few numbers each) is broadcast; beyond, joins by source are shuffled.
+BROADCAST = 10_000
 #: Sizes in words that part documents into classes; a larger class settles first.
 CLASSES = (1024, 128, 24)
 _NEAR = 1e-9
@@ -123,7 +125,9 @@ def copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(sizes.sparkSession)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = aims.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole"))
-    rated = sizes.alias("s").join(known.alias("t"), F.expr("s.source <=> t.source")).select("doc_id", "s.source", "size", "n", "source_size", "target", "whole", "part")
+    few = aims.count() <= BROADCAST
+    side = F.broadcast if few else lambda df: df
+    rated = sizes.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).select("doc_id", "s.source", "size", "n", "source_size", "target", "whole", "part")
     is_open = (F.col("size") > 0) & (F.col("part") > 0)
     in_class = F.lit(0)
     for i, least in enumerate(CLASSES, 1):
@@ -134,22 +138,22 @@ def copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     every, owed = [], None
     for number in sorted(largest):
         rows = opened.where(F.col("class") == number).drop("n")
-        here = classes.where(F.col("class") == number).drop("class").alias("c")
+        here = side(classes.where(F.col("class") == number).drop("class")).alias("c")
         rows = rows.alias("r").join(here, F.expr("r.source <=> c.source")).select("doc_id", "r.source", "size", "part", "class_size", "c.n")
         if owed is None:
             rows = rows.withColumn("owed", F.lit(0.0))
         else:
-            rows = rows.alias("r").join(owed.alias("o"), F.expr("r.source <=> o.source"), "left").select("doc_id", "r.source", "size", "part", "class_size", "n", F.coalesce("o.owed", F.lit(0.0)).alias("owed"))
+            rows = rows.alias("r").join(side(owed).alias("o"), F.expr("r.source <=> o.source"), "left").select("doc_id", "r.source", "size", "part", "class_size", "n", F.coalesce("o.owed", F.lit(0.0)).alias("owed"))
         p = F.least(F.greatest(F.col("part") + F.col("owed") / F.col("class_size"), F.lit(0.0)), F.lit(1.0))
         block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)))
         h = F.xxhash64(F.col("doc_id").cast("string"), F.col("size"), F.lit(1))
         done = _settle(rows.select("source", h.alias("h"), F.col("doc_id").alias("id"), "size", p.alias("p"), block.alias("block")), largest[number])
         every.append(done)
-        missed = done.alias("s").join(known.alias("t"), F.expr("s.source <=> t.source")).groupBy("s.source").agg(F.sum(F.col("e.size") * (F.col("part") - F.when(F.col("e.p") >= 0.5, 1).otherwise(0))).alias("owed"))
+        missed = done.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).groupBy("s.source").agg(F.sum(F.col("e.size") * (F.col("part") - F.when(F.col("e.p") >= 0.5, 1).otherwise(0))).alias("owed"))
         owed = (missed if owed is None else missed.union(owed).groupBy("source").agg(F.sum("owed").alias("owed"))).checkpoint()
     flat = rated.where(~is_open).select("doc_id", "size", "source", "source_size", "target", F.col("whole").alias("copies"))
     for done in every:
-        up = done.alias("s").join(known.alias("t"), F.expr("s.source <=> t.source")).select(F.col("e.id").alias("doc_id"), F.col("e.size").alias("size"), "s.source", "source_size", "target", (F.col("whole") + F.when(F.col("e.p") >= 0.5, 1).otherwise(0)).alias("copies"))
+        up = done.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).select(F.col("e.id").alias("doc_id"), F.col("e.size").alias("size"), "s.source", "source_size", "target", (F.col("whole") + F.when(F.col("e.p") >= 0.5, 1).otherwise(0)).alias("copies"))
         flat = flat.union(up)
     return flat
 
