@@ -5,17 +5,23 @@ allowed dimension, at the weighted median of a number or into the children of a
 taxonomy node.  A cut stands if all parts are l-diverse; else the dimension is
 barred for that partition, which closes when none is left.  Rows carry their
 partition, so a round is a few aggregates by partition, however many there are.
+Partitions of at most ``LOCAL`` rows are cut to the end in one task each.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from maskwright.session import scratch
+
+LOCAL = 50_000
+
 
 def frequencies(df: DataFrame, part: str, column: str) -> DataFrame:
     """(part, column, n): value counts of each partition."""
@@ -91,7 +97,7 @@ def mondrian(df: DataFrame, sensitive: str, l: int, qi: Sequence[str] | None = N
     everything = (1 << len(qi)) - 1
     rows = rows.withColumn("part_id", F.when(usable, "").otherwise("*")).withColumn("_open", usable).withColumn("_allowed", F.lit(everything))
     ranges = rows.where("_open").agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numbers]).first() if numbers else {}
-    base = f"{_shared(spark)}/mondrian-{uuid.uuid4().hex}"
+    base = scratch(spark, "mondrian")
     whole = l_diversity(rows.where("_open"), ["part_id"], sensitive, l).first()
     if whole is None or not whole["diverse"]:
         rows = rows.withColumn("_open", F.lit(False))
@@ -99,12 +105,15 @@ def mondrian(df: DataFrame, sensitive: str, l: int, qi: Sequence[str] | None = N
     for number in range(max_rounds):  # only open partitions go on to the next round
         rows.write.parquet(f"{base}/{number}")
         rows = spark.read.schema(rows.schema).parquet(f"{base}/{number}")
-        closed = rows.where("not _open") if number < max_rounds - 1 else rows
-        out = closed if out is None else out.union(closed)
-        rows = rows.where("_open")
-        if not rows.limit(1).count():
+        sizes = rows.where("_open").groupBy("part_id").agg(F.count("*").alias("_n"))
+        large = sizes.where(F.col("_n") > LOCAL) if number < max_rounds - 1 else sizes.where("false")
+        small = rows.where("_open").join(large, "part_id", "left_anti").select(*rows.columns)
+        finish = _finisher(qi, list(taxonomies), dict(ranges.asDict()) if numbers else {}, sensitive, l, everything)
+        done = rows.where("not _open").union(small.groupBy("part_id").applyInArrow(finish, rows.schema))
+        out = done if out is None else out.union(done)
+        if not large.limit(1).count():
             break
-        rows = _round(rows, qi, taxonomies, ranges, sensitive, l, everything)
+        rows = _round(rows.where("_open").join(large.select("part_id"), "part_id", "left_semi").select(*rows.columns), qi, taxonomies, ranges, sensitive, l, everything)
     for c in qi:
         over = Window.partitionBy("part_id")
         if c in taxonomies:
@@ -116,11 +125,70 @@ def mondrian(df: DataFrame, sensitive: str, l: int, qi: Sequence[str] | None = N
     return out.select(*own, "part_id", *[f"{c}_generalized" for c in qi])
 
 
-def _shared(spark) -> str:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", f"/tmp/checkpoints/maskwright-{context.applicationId}"))
-    return context._jsc.sc().getCheckpointDir().get()
+def _finisher(qi: Sequence[str], categories: Sequence[str], ranges: Mapping[str, float], sensitive: str, l: int, everything: int):  # noqa: E741
+    """Cuts one partition to the end, by the same rules as the rounds."""
+
+    def finish(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        values = {c: table.column(c).to_numpy().astype(np.float64) for c in qi if c not in categories}
+        paths = {c: table.column(f"_path_{c}").to_pylist() for c in categories}
+        covers = {c: table.column(f"_cover_{c}").to_pylist() for c in categories}
+        depths = {c: table.column(f"_depth_{c}").to_numpy().copy() for c in categories}
+        kinds = {v: i for i, v in enumerate(dict.fromkeys(table.column(sensitive).to_pylist()))}
+        marks = np.array([kinds[v] for v in table.column(sensitive).to_pylist()])
+        null = kinds.get(None, -1)
+        parts = [""] * n
+
+        def diverse(rows: np.ndarray) -> bool:
+            counts = np.bincount(marks[rows], minlength=len(kinds))
+            distinct = (counts > 0).sum() - (null >= 0 and counts[null] > 0)
+            return len(rows) >= l and distinct >= l and counts.max() <= len(rows) / l
+
+        def sides_of(rows: np.ndarray, c: str) -> dict[str, np.ndarray]:
+            if c in categories:
+                d = int(depths[c][rows[0]]) + 1
+                names = np.array([paths[c][r][d] if d < len(paths[c][r]) else None for r in rows], object)
+                return {s: rows[names == s] for s in dict.fromkeys(names) if s is not None}
+            v = values[c][rows]
+            distinct, counts = np.unique(v, return_counts=True)
+            at = int(np.argmax(np.cumsum(counts) >= len(rows) // 2))
+            return {"0": rows[v <= distinct[at]], "1": rows[v > distinct[at]]} if at + 1 < len(distinct) else {}
+
+        stack = [(np.arange(n), table.column("part_id")[0].as_py(), int(table.column("_allowed")[0].as_py()))]
+        while stack:
+            rows, part, allowed = stack.pop()
+            closed = rows
+            while allowed:
+                widths = {}
+                for i, c in enumerate(qi):
+                    if allowed >> i & 1:
+                        if c in categories:
+                            cover = covers[c][rows[0]]
+                            width = cover[int(depths[c][rows[0]])]
+                            widths[i] = width / cover[0] if width > 1 else 0.0
+                        else:
+                            v = values[c][rows]
+                            widths[i] = float(v.max() - v.min()) / ranges[c] if ranges[c] else 0.0
+                best = max(widths, key=lambda i: (widths[i], -i))
+                if widths[best] <= 0:
+                    break
+                sides = sides_of(rows, qi[best])
+                if sides and all(map(diverse, sides.values())):
+                    for name, own in sides.items():
+                        if qi[best] in categories:
+                            depths[qi[best]][own] += 1
+                        stack.append((own, f"{part}/{name}", everything))
+                    closed = rows[:0]
+                    break
+                allowed &= ~(1 << best)
+            for r in closed:
+                parts[r] = part
+        table = table.set_column(table.column_names.index("part_id"), "part_id", pa.array(parts, pa.string()))
+        for c in categories:
+            table = table.set_column(table.column_names.index(f"_depth_{c}"), f"_depth_{c}", pa.array(depths[c], pa.int32()))
+        return table.set_column(table.column_names.index("_open"), "_open", pa.array([False] * n))
+
+    return finish
 
 
 def _round(open_rows: DataFrame, qi: Sequence[str], taxonomies: Mapping[str, DataFrame], ranges, sensitive: str, l: int, everything: int) -> DataFrame:  # noqa: E741

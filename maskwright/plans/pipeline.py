@@ -14,6 +14,7 @@ from maskwright.operators.profile import drop_empty_columns, first_class_identif
 from maskwright.operators.score import data_size, quality_score
 from maskwright.operators.search import SearchResult, search, verify
 from maskwright.operators.treat import Choice, apply, choose
+from maskwright.session import scratch
 from maskwright.sources.sinks import save_search
 from maskwright.sources.tables import fingerprint, saved_search
 
@@ -80,9 +81,7 @@ class AnonymizationPipeline:
 
     def _cut(self, df: DataFrame) -> DataFrame:
         """Plans would grow with every treatment; checkpoint() goes to the shared folder."""
-        context = self.spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", f"/tmp/checkpoints/maskwright-{context.applicationId}"))
+        scratch(self.spark, "")  # sets the folder, if none is set
         return df.checkpoint()
 
     def run(self, df: DataFrame, treat: bool = True, score: bool = False, size: bool = False, evaluate: bool = False) -> Outcome:

@@ -13,6 +13,9 @@ from maskwright.functions.scalars import is_digits, numeric
 from maskwright.operators import analyze, clusters, compartments, mondrian, profile, score, treat, uniqueness
 from maskwright.operators.search import search
 from maskwright.plans import lattice
+from maskwright.plans.pipeline import AnonymizationPipeline
+from maskwright.session import scratch
+from maskwright.sources import sinks, tables
 from maskwright.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,7 +215,7 @@ def qi_heuristic_part(spark, sf_dir):
     return search(table(spark, sf_dir, "part", PART), Settings(strategy="heuristic", max_length=2)).table(spark)
 
 
-@query()
+@query(_minimal_sql("lineitem", LINEITEM[:6], 2))
 def qi_sampled_lineitem(spark, sf_dir):
     return search(table(spark, sf_dir, "lineitem", LINEITEM[:6]), Settings(strategy="sampled", max_length=2)).table(spark)
 
@@ -318,6 +321,31 @@ def conflict_edges(spark, sf_dir):
     return compartments.edges(spark, compartments.conflict_graph(found))
 
 
+@query("SELECT unnest(['p_brand,p_type', 'p_name', 'p_retailprice', 'p_size']) AS compartment, 0::INT AS n_left")
+def compartments_verified(spark, sf_dir):
+    df = table(spark, sf_dir, "part", PART)
+    outcome = AnonymizationPipeline(spark, Settings(treatment="compartmentation")).run(df, evaluate=True)
+    return spark.createDataFrame([(",".join(c), len(left)) for c, left in outcome.left.items()], "compartment string, n_left int")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def csv_round_trip(spark, sf_dir):
+    df = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
+    return tables.read_csv(spark, sinks.write_csv(df, scratch(spark, "csv")), df.schema)
+
+
+@query(f"SELECT columns, len, unique_rows, coverage_pct FROM ({_PART_QIS})")
+def saved_search(spark, sf_dir):
+    df = table(spark, sf_dir, "part", PART)
+    path, settings = scratch(spark, "searches"), Settings(max_length=3)
+    for _ in range(2):  # the second one reads what the first one saved
+        found = AnonymizationPipeline(spark, settings, path).find(df, {})
+    return found.table(spark)
+
+
 # ---------------------------------------------------------------- scores
 
 
@@ -451,6 +479,13 @@ def mondrian_part(spark, sf_dir):
     return mondrian.mondrian(table(spark, sf_dir, "part", ["p_size", "p_retailprice", "p_type"]), "p_type", 3)
 
 
+@query("SELECT count(*) AS n_rows, true AS all_diverse, true AS several FROM part")
+def mondrian_properties(spark, sf_dir):
+    out = mondrian.mondrian(table(spark, sf_dir, "part", ["p_size", "p_retailprice", "p_type"]), "p_type", 3)
+    checked = mondrian.l_diversity(out, ["part_id"], "p_type", 3)
+    return checked.agg(F.sum("size").alias("n_rows"), F.bool_and("diverse").alias("all_diverse"), (F.count("*") > 1).alias("several"))
+
+
 @query()
 def kmeans_columns(spark, sf_dir):
     return clusters.kmeans_columns(profile.profile(table(spark, sf_dir, "lineitem", LINEITEM)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder: the cluster's ``spark.checkpoint.dir``, else (tests, a single machine) our own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or f"/tmp/checkpoints/maskwright-{context.applicationId}")
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def session(name: str = "maskwright", master: str = "local[*]", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the tests and the benchmark use."""
     builder = SparkSession.builder.appName(name).master(master)

@@ -83,6 +83,18 @@ def test_mondrian_is_diverse_and_keeps_rows(spark):
     assert len(checked) > 4 and all(r["diverse"] for r in checked)
 
 
+def test_mondrian_rounds_equal_local_cuts(spark, monkeypatch):
+    taxonomy = spark.createDataFrame([(f"k{i}", ["*", f"g{i % 3}", f"k{i}"]) for i in range(6)], "leaf string, path array<string>")
+    rows = [(i % 17, (i * 7) % 40 / 2, f"k{i % 6}", None if i % 9 == 8 else f"s{i % 4}", None if i % 2 else i) for i in range(120)]
+    df = spark.createDataFrame(rows, "a int, b double, k string, s string, other int")
+    outs = []
+    for limit in (50_000, 30, 0):
+        monkeypatch.setattr(mondrian, "LOCAL", limit)
+        out = mondrian.mondrian(df, "s", 2, ["a", "b", "k"], {"k": taxonomy})
+        outs.append(sorted(map(str, out.collect())))
+    assert outs[0] == outs[1] == outs[2] and len(outs[0]) == 120
+
+
 def test_mondrian_with_taxonomy(spark):
     leaves = {"cat": "pet", "dog": "pet", "cow": "farm", "pig": "farm"}
     taxonomy = spark.createDataFrame([(k, ["*", v, k]) for k, v in leaves.items()], "leaf string, path array<string>")
