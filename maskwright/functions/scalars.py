@@ -54,10 +54,6 @@ def repetition_reward(count: Column) -> Column:
     return F.when(count > 1, F.tanh(1.0 / (count - 1))).otherwise(F.lit(0.0))
 
 
-def text_of(value: Column) -> Column:
-    return value.cast("string")
-
-
 def key_of(columns: Sequence[str]) -> list[Column]:
     """Two 64-bit hashes of a tuple: together a key of fixed size for column sets of any width."""
     cols = [F.col(f"`{c}`") for c in columns]

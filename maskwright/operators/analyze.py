@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +106,3 @@ def analyze(qis: DataFrame, profiled: DataFrame) -> dict[str, DataFrame]:
         "scatter": profiled.select("colname", "entropy", "cardinality").join(popularity(qis), "colname", "left"),
     }
 
-
-def mean_weight_of(values: Sequence[float]) -> int:
-    return math.ceil(sum(values) / len(values)) if values else 0

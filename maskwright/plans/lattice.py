@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 from maskwright.config import Settings
@@ -70,7 +70,7 @@ def passes(mask: int, known: Sequence[int], entropies: Sequence[float], crm: int
 
 
 def saved_pct(evaluated: int, total: int) -> float:
-    """Share of the lattice that wasn't evaluated, in hundredths of a per cent rounded up of what was."""
+    """Share of the lattice that wasn't evaluated; the share that was is rounded up to hundredths of a per cent."""
     return 100.0 - math.ceil(evaluated / total * 10_000) / 100 if total else 0.0
 
 
@@ -127,6 +127,3 @@ def uncovered(names: Sequence[str], plan: Iterable[Sequence[str]]) -> list[str]:
     seen = {c for s in plan for c in s}
     return [c for c in names if c not in seen]
 
-
-def greedy(candidates: Iterable[int], test: Callable[[int], bool]) -> list[int]:
-    return [m for m in candidates if test(m)]

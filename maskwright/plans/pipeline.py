@@ -14,6 +14,7 @@ from maskwright.operators.profile import drop_empty_columns, first_class_identif
 from maskwright.operators.score import data_size, quality_score
 from maskwright.operators.search import SearchResult, search, verify
 from maskwright.operators.treat import Choice, apply, choose
+from maskwright.plans.lattice import saved_pct
 from maskwright.session import scratch
 from maskwright.sources.sinks import save_search
 from maskwright.sources.tables import fingerprint, saved_search
@@ -90,7 +91,7 @@ class AnonymizationPipeline:
         outcome = Outcome(ready, dropped, None, compartments=[list(ready.columns)] if ready.columns else [])
         if len(ready.columns) >= 2:
             outcome.search = self.find(ready, entropies)
-            outcome.metrics |= {"search_seconds": time.time() - began, "quasi_identifiers": len(outcome.search.found), "evaluated": outcome.search.evaluated}
+            outcome.metrics |= {"search_seconds": time.time() - began, "quasi_identifiers": len(outcome.search.found), "evaluated": outcome.search.evaluated, "saved_pct": saved_pct(outcome.search.evaluated, outcome.search.total)}
             if treat:
                 began, changed, result = time.time(), 0, outcome.search
                 for number in range(self.settings.rounds):
