@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Entries that one branch of ``fanned_out`` makes of a row.
+BRANCH = 4
+
 
 def is_digits(value: Column) -> Column:
     """Non-empty and ASCII digits only, as text: 34 is, 34.0 and -1 aren't."""
@@ -68,3 +71,18 @@ def combinations_count(n: int, r: int | None = None) -> int:
 def is_null_literal(value: Column) -> Column:
     """NULL or NaN."""
     return value.isNull() | F.coalesce(F.isnan(value.try_cast("double")), F.lit(False))
+
+
+def fanned_out(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
+    """The fields of each struct of ``entries``, a row per entry and row of ``df``; NULL entries give none.
+
+    A union of branches of a few entries each: a branch scans only the columns
+    that its entries use, its code stays small enough to be compiled, and its
+    partial sums see few kinds of keys.  One explode of all entries took five
+    times as long for 45 of them.
+    """
+    out = None
+    for i in range(0, len(entries), BRANCH):
+        branch = df.select(F.explode(F.array(*entries[i : i + BRANCH])).alias("entry")).where("entry is not null").select("entry.*")
+        out = branch if out is None else out.union(branch)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.config import Settings
-from maskwright.functions.scalars import entropy
+from maskwright.functions.scalars import entropy, fanned_out
 
 
 def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     NULL has hashes of its own kind (the flag), so counts need no text.
     """
     cells = [F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").isNull().alias("is_null"), F.xxhash64(F.col(f"`{c}`")).alias("h1"), F.xxhash64(F.lit(1), F.col(f"`{c}`")).alias("h2")) for i, c in enumerate(columns)]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    return fanned_out(df, cells)
 
 
 def _named(columns: Sequence[str], position: Column) -> Column:

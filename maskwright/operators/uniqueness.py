@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions.scalars import key_of
+from maskwright.functions.scalars import fanned_out, key_of
 
 
 def representatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -28,11 +28,10 @@ def repeated_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def coverage(df: DataFrame, sets: Iterable[Sequence[str]]) -> DataFrame:
-    """(set_id, n_unique, n_combinations) of many column sets in one job over one scan.
+    """(set_id, n_unique, n_combinations) of many column sets in one job.
 
     A row gives one key per set: the set's number and two hashes, 20 bytes
-    whatever the set's width; counting keys has map-side partial sums, and no
-    set is scanned for apart.
+    whatever the set's width; counting keys has map-side partial sums.
     """
     keys = []
     for i, columns in enumerate(sets):
@@ -41,8 +40,7 @@ def coverage(df: DataFrame, sets: Iterable[Sequence[str]]) -> DataFrame:
         for c in columns:
             full = full & F.col(f"`{c}`").isNotNull()
         keys.append(F.when(full, F.struct(F.lit(i).alias("set_id"), h1.alias("h1"), h2.alias("h2"))))
-    rows = df.select(F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.*")
-    counted = rows.groupBy("set_id", "h1", "h2").agg(F.count("*").alias("c"))
+    counted = fanned_out(df, keys).groupBy("set_id", "h1", "h2").agg(F.count("*").alias("c"))
     return counted.groupBy("set_id").agg(F.sum((F.col("c") == 1).cast("long")).alias("n_unique"), F.count("*").alias("n_combinations"))
 
 
