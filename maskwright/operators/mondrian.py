@@ -34,17 +34,17 @@ def distinct_sensitive(df: DataFrame, part: str, sensitive: str) -> DataFrame:
 
 def l_diversity(df: DataFrame, keys: Sequence[str], sensitive: str, l: int) -> DataFrame:  # noqa: E741
     """(keys, size, n_sensitive, most, diverse): at least l rows and l sensitive values, none in more than 1/l of the rows."""
-    counts = df.groupBy(*keys, sensitive).agg(F.count("*").alias("c"))
-    stats = counts.groupBy(*keys).agg(F.sum("c").alias("size"), F.count(sensitive).alias("n_sensitive"), F.max("c").alias("most"))
+    counts = df.groupBy(*keys, sensitive).agg(F.count("*").alias("_c"))
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("size"), F.count(sensitive).alias("n_sensitive"), F.max("_c").alias("most"))
     return stats.withColumn("diverse", (F.col("size") >= l) & (F.col("n_sensitive") >= l) & (F.col("most") <= F.col("size") / l))
 
 
 def medians(df: DataFrame, part: str, value: str) -> DataFrame:
     """(part, split, next, low, high): the first value at which half of the partition (rounded down) is reached, and the value after it."""
-    counts = df.groupBy(part, value).agg(F.count("*").alias("c"))
+    counts = df.groupBy(part, value).agg(F.count("*").alias("_c"))
     order = Window.partitionBy(part).orderBy(value)
     every = Window.partitionBy(part)
-    row = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(every)).withColumn("next", F.lead(value).over(order))
+    row = counts.withColumn("upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("_c").over(every)).withColumn("next", F.lead(value).over(order))
     reached = F.col("upto") >= F.floor(F.col("total") / 2)
     return row.groupBy(part).agg(F.min_by(value, F.when(reached, F.col(value))).alias("split"), F.min_by("next", F.when(reached, F.col(value))).alias("next"), F.min(value).alias("low"), F.max(value).alias("high"))
 

@@ -115,10 +115,10 @@ def perturbation_of(reps: DataFrame, columns: Sequence[str], column: str) -> Dat
     columns decides.
     """
     others = [c for c in columns if c != column]
-    rows = reps.withColumn("v", digits_value(F.col(f"`{column}`")))
-    ordered = Window.partitionBy(F.col("v").isNull(), *[F.col(f"`{c}`") for c in others]).orderBy("v", F.col(f"`{column}`").cast("string"))
-    rows = rows.withColumn("lower", F.lag("v").over(ordered)).withColumn("upper", F.lead("v").over(ordered))
-    nearest = F.when(F.col("v") - F.col("lower") <= F.col("upper") - F.col("v"), F.col("lower")).when(F.col("lower").isNotNull() & F.col("upper").isNotNull(), F.col("upper"))
+    rows = reps.withColumn("_v", digits_value(F.col(f"`{column}`")))
+    ordered = Window.partitionBy(F.col("_v").isNull(), *[F.col(f"`{c}`") for c in others]).orderBy("_v", F.col(f"`{column}`").cast("string"))
+    rows = rows.withColumn("_lower", F.lag("_v").over(ordered)).withColumn("_upper", F.lead("_v").over(ordered))
+    nearest = F.when(F.col("_v") - F.col("_lower") <= F.col("_upper") - F.col("_v"), F.col("_lower")).when(F.col("_lower").isNotNull() & F.col("_upper").isNotNull(), F.col("_upper"))
     to = reps.schema[column].dataType
     unique = rows.where("count = 1").select(F.col(f"`{column}`").alias("key"), nearest.cast("string").cast(to).alias("new"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("rank"))
     return unique.groupBy("key").agg(F.min_by(F.struct("new"), "rank")["new"].alias("new"))

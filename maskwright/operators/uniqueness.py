@@ -47,11 +47,11 @@ def coverage(df: DataFrame, sets: Iterable[Sequence[str]]) -> DataFrame:
 def coverage_by_grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """(gid, n_unique) of the same by GROUPING SETS on the values themselves; gid as grouping_id() over all columns."""
     every = sorted({c for s in sets for c in s}, key=df.columns.index)
-    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in every]).agg(F.grouping_id().alias("gid"), F.count("*").alias("c"), *[F.grouping(c).alias(f"_{i}") for i, c in enumerate(every)])
+    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in every]).agg(F.grouping_id().alias("_gid"), F.count("*").alias("_count"), *[F.grouping(c).alias(f"_{i}") for i, c in enumerate(every)])
     null_key = F.lit(False)
     for i, c in enumerate(every):  # NULL in the data, not a column that the set lacks
         null_key = null_key | ((F.col(f"_{i}") == 0) & F.col(c).isNull())
-    return grouped.where(~null_key).groupBy("gid").agg(F.sum((F.col("c") == 1).cast("long")).alias("n_unique"))
+    return grouped.where(~null_key).groupBy(F.col("_gid").alias("gid")).agg(F.sum((F.col("_count") == 1).cast("long")).alias("n_unique"))
 
 
 def qi_table(spark: SparkSession, found: Iterable[tuple[Sequence[str], int]], n_rows: int) -> DataFrame:
