@@ -154,7 +154,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ensure_checkpoint_dir(docs.sparkSession)
     marked = fingerprints(docs, id_column, text_column, shingle).checkpoint()
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labelled = components(links(distinct.select("fp")))
+    # dealt out anew: few rows become 70 times as many, which no task should do alone
+    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    labelled = components(links(spread))
     # one row per distinct fingerprint; the smallest id of its component
     known = distinct.join(labelled, distinct["fp"] == labelled["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
