@@ -53,7 +53,7 @@ REACH = LENGTH - ANCHOR
 HALF = REACH // 2
 CROWD = 20_000
 #: Bytes of text for each bucket, and of a slice handled at once (longer texts are handled in overlapping segments).
-PER_BUCKET, SLICE = 12 << 20, 2 << 20
+PER_BUCKET, SLICE = 12 << 20, 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 
