@@ -232,7 +232,7 @@ def fit(samples: dict[str, list[str]]) -> LanguageModels:
 def learn(docs: DataFrame, eligible: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> LanguageModels:
     """Models fitted on the bounded sample of the ``eligible`` rows."""
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), docs[lang_column].alias("lang"), eligible.alias("ok"))
-    rows = rows.where("ok and lang is not null and text is not null").where(F.length("text").between(1, LONGEST))
+    rows = rows.where("ok and lang is not null")  # the texts are read once, of the chosen rows
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(IN_ALL).collect()
     each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, len(counts))))
     # a share of each language, by the hash of the id: about `each` documents, without a sort by language
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, eligible: Column, id_column: str = "doc_id", text_col
     h = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit(7)), 11) * (2.0**-53)
     first = rows.select("id", "lang", h.alias("h")).join(F.broadcast(shares), "lang").where("h < share")  # at most IN_ALL rows are broadcast
     chosen = first.orderBy(F.col("h") / F.col("share"), "id").limit(IN_ALL).select(F.col("id").alias("chosen"))
-    picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi")  # at most IN_ALL ids
+    picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi").where(F.length("text").between(1, LONGEST))  # at most IN_ALL ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
