@@ -80,7 +80,7 @@ def _minimal_sql(source: str, columns: Sequence[str], longest: int) -> str:
 _PART_QIS = _minimal_sql("part", PART, 3)
 
 
-def _minimal(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str], longest: int) -> DataFrame:
+def _minimal(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str], longest: int | None = None) -> DataFrame:
     return search(table(spark, sf_dir, name, columns), Settings(max_length=longest)).table(spark)
 
 
@@ -172,6 +172,11 @@ def qi_minimal_lineitem(spark, sf_dir):
     return _minimal(spark, sf_dir, "lineitem", LINEITEM, 3)
 
 
+@query()  # every length: tests hold it against brute force
+def qi_all_minimal_lineitem(spark, sf_dir):
+    return _minimal(spark, sf_dir, "lineitem", LINEITEM)
+
+
 @query(_minimal_sql("orders", ORDERS, 4))
 def qi_minimal_orders(spark, sf_dir):
     return _minimal(spark, sf_dir, "orders", ORDERS, 4)
@@ -413,6 +418,16 @@ def qi_found_by_length(spark, sf_dir):
     return analyze.found_by_length(_minimal(spark, sf_dir, "lineitem", LINEITEM, 3), [2, 3])
 
 
+@query()
+def qi_all_column_statistics(spark, sf_dir):
+    return analyze.column_statistics(_minimal(spark, sf_dir, "lineitem", LINEITEM), LINEITEM).drop("n_allowed")
+
+
+@query()
+def qi_all_found_by_length(spark, sf_dir):
+    return analyze.found_by_length(_minimal(spark, sf_dir, "lineitem", LINEITEM), list(range(2, len(LINEITEM) + 1)))
+
+
 _PART_WEIGHTS = f"WITH e AS (SELECT colname, entropy FROM ({_profile_sql('part', PART)})), q AS ({_PART_QIS}), k AS (SELECT columns, len, unnest(columns) AS colname FROM q), w AS (SELECT columns, len, ceil(round(sum(entropy), 9)) AS weight, ceil(round(avg(entropy), 9)) AS mean_weight FROM k JOIN e USING (colname) GROUP BY ALL)"
 
 

@@ -83,3 +83,18 @@ def test_verify(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1)], "a int, b int, c int")
     assert verify(df, [["a", "c"], ["b", "c"], ["a"]]) == {("a", "c"): [], ("b", "c"): [], ("a",): []}
     assert verify(df, [["a", "b"]]) == {("a", "b"): [("a", "b")]}
+
+
+def test_lineitem_queries_find_all_lengths(spark, tmp_path):
+    """Four columns hold all 16 patterns of bits: only all four tell a row; any other column tells it in each pair."""
+    from maskwright.queries import LINEITEM, QUERIES
+
+    rows = [tuple(int(x) for x in f"{i:04b}") + (i,) * 6 for i in range(16)]
+    spark.createDataFrame(rows, ", ".join(f"{c} int" for c in LINEITEM)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    truth = {k: v for k, v in brute(rows, LINEITEM).items() if v}
+    truth = {k: v for k, v in truth.items() if not any(set(o) < set(k) for o in truth)}
+    assert {len(k) for k in truth} == {2, 4}
+    assert {tuple(r["columns"]): r["unique_rows"] for r in QUERIES["qi_all_minimal_lineitem"](spark, str(tmp_path)).collect()} == truth
+    counts = Counter(c for k in truth for c in k)
+    assert {r["colname"]: (r["occurrence"], r["mean_length"]) for r in QUERIES["qi_all_column_statistics"](spark, str(tmp_path)).collect() if r["occurrence"]} == {c: (n, sum(len(k) for k in truth if c in k) / n) for c, n in counts.items()}
+    assert {r["colname"]: r["4_ucc_found"] for r in QUERIES["qi_all_found_by_length"](spark, str(tmp_path)).collect() if r["4_ucc_found"]} == dict.fromkeys(LINEITEM[:4], 1)
