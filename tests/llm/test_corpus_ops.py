@@ -134,6 +134,29 @@ def test_secrets_against_brute_force(spark):
     assert secrets.redact(df).columns == df.columns and secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def key_text(seed, end=True):
+    rng = random.Random(seed)
+    body = "\n".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/", k=64)) for _ in range(20))
+    return body, f"my key\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n" + "-----END RSA PRIVATE KEY-----\n" * end + "that was it, a well-kept key"
+
+
+def test_private_keys_are_told_by_their_bodies(spark):
+    """Different keys behind equal header lines are each live, and masked whole; one copied widely is an example."""
+    keys = [key_text(i) for i in range(6)]
+    copied = key_text(100)
+    encrypted = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789abcdef0123\n\nabcd1234\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, text, f"s{i % 4}") for i, (_, text) in enumerate(keys)] + [(10 + i, f"{i} {copied[1]}", f"s{i % 4}") for i in range(6)]
+    rows += [(20, key_text(20, end=False)[1], "s"), (21, encrypted + " and token=abcdefghijklmnop", "s"), (22, "-----BEGIN PRIVATE KEY----- is the first line", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.scan_secrets(df).select("doc_id", "n_live", "n_example").collect()}
+    assert all(found[i] == (1, 0) and found[10 + i] == (0, 1) for i in range(6)) and found[22] == (0, 0)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert all(clean[i] == text.replace(f"\n{body}\n", secrets.MASK) for i, (body, text) in enumerate(keys))
+    assert all(copied[0] in clean[10 + i] for i in range(6)) and clean[22] == rows[-1][1]
+    assert key_text(20)[0][-64:] not in clean[20] and clean[20].endswith("that was it, a well-kept key")
+    assert clean[21] == f"-----BEGIN RSA PRIVATE KEY-----{secrets.MASK}-----END RSA PRIVATE KEY----- and token={secrets.MASK}"
+
+
 # ---------------------------------------------------------------- mixing
 
 
