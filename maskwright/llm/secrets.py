@@ -9,7 +9,7 @@ widely copied example; any other is a live-looking credential of its owner.
 
 Defined cases: null text counts as empty; a null source is an owner of its own;
 repeated ids get the sums of their rows for ``n_live`` and ``n_example``; a null
-id gets zeros there; empty tables give empty results; extra columns are not
+id gets zeros there, but is masked like any other; empty tables give empty results; extra columns are not
 read (``redact`` returns them untouched).
 """
 
@@ -139,7 +139,7 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     ensure_checkpoint_dir(docs.sparkSession)
     spans = find_spans(docs, id_column, text_column, source_column).where("size(spans) > 0").checkpoint()
     live = classified(spans).where("not example").groupBy("doc_id").agg(F.collect_set("value_hash").alias("_live")).withColumnRenamed("doc_id", "_own")
-    joined = docs.join(live, docs[id_column] == F.col("_own"), "left")
+    joined = docs.join(live, docs[id_column].eqNullSafe(F.col("_own")), "left")
     for kind in sorted(KINDS, key=lambda k: k.name != "key"):  # keys first: other kinds may match within them
         joined = joined.withColumn(text_column, _mended(kind, F.col(text_column)))
     return joined.select(*docs.columns)

@@ -157,6 +157,11 @@ def test_private_keys_are_told_by_their_bodies(spark):
     assert clean[21] == f"-----BEGIN RSA PRIVATE KEY-----{secrets.MASK}-----END RSA PRIVATE KEY----- and token={secrets.MASK}"
 
 
+def test_secrets_of_null_ids_are_masked(spark):
+    df = spark.createDataFrame([(None, "password=abcdefghijklm", "s"), (None, "nothing", None), (1, "token=abcdefghijklmnop", "s")], "doc_id long, text string, source string")
+    assert sorted(r["text"] for r in secrets.redact(df).collect()) == ["nothing", f"password={secrets.MASK}", f"token={secrets.MASK}"]
+
+
 # ---------------------------------------------------------------- mixing
 
 
