@@ -23,6 +23,7 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import ensure_checkpoint_dir, slices
 
-#: Pages that a wrapper must come from before its literals count, and the longest literal.
+#: Pages that a wrapper must come from before its literals count, and the longest literal that is held as text (longer ones by their hash).
 LEAST, LITERAL = 8, 120
-#: Items of one level that wrappers keep, so that they stay small; the rest of a level is left unaligned.
+#: Items of one level from which on runs of optionals are merged, so that wrappers stay small; what every page has stays.
 LEVEL = 60
 
 # Element and class names.
@@ -47,6 +48,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = HEADINGS | {"article", "main", "section", "p", "li", "tr", "figure"}
 NOISE = frozenset("head script style noscript template iframe svg nav aside footer form button select textarea input label fieldset dialog menu object embed canvas audio video map".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars sidenav rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar header footer masthead copyright comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager skip search contentinfo complementary announcement disclaimer tracking hidden".split()
@@ -65,26 +67,38 @@ class Node:
 
     __slots__ = ("tag", "words", "children", "kind", "noise", "main")
 
-    def __init__(self, tag: str, words: frozenset[str] = frozenset(), hidden: bool = False):
+    def __init__(self, tag: str, words: frozenset[str] = frozenset(), hidden: bool = False, named: frozenset[str] = frozenset()):
         self.tag, self.words, self.children = tag, words, []
-        self.kind = tag + "".join(f".{w}" for w in sorted(words)[:3])
+        self.kind = tag + "".join(f".{w}" for w in sorted(named)[:3])
         self.noise = hidden or tag in NOISE
         self.main = False
 
 
-def _attributes(text: str) -> tuple[frozenset[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def _attributes(text: str, tag: str) -> tuple[frozenset[str], bool, frozenset[str]]:
+    """Words of class, id and role, whether the element is hidden, and the words that tell its kind.
+
+    Those are the same on each page of a site: no numbers but short ones of a
+    class ("col-6"), and an id's words only where there are no others and the
+    element isn't one that ids tend to name by its content.
+    """
     if not text or text.isspace():
-        return frozenset(), False
+        return frozenset(), False, frozenset()
     words: set[str] = set()
+    named: set[str] = set()
+    own: set[str] = set()
     hidden = False
     for name, value in _ATTRIBUTE.findall(text):
         name = name.lower()
         if name in ("class", "id", "role"):
-            words.update(_WORDS.findall(html.unescape(value).lower()))
+            found = _WORDS.findall(html.unescape(value).lower())
+            words.update(found)
+            if name == "id":
+                own.update(w for w in found if w.isalpha())
+            else:
+                named.update(w for w in found if sum(map(str.isdigit, w)) < 3)
         elif name == "hidden" or (name == "aria-hidden" and "true" in value.lower()) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())):
             hidden = True
-    return frozenset(words), hidden
+    return frozenset(words), hidden, frozenset() if tag == "body" else frozenset(named or (own if tag not in NAMED else ()))
 
 
 def parse(page: str) -> Node:
@@ -125,7 +139,7 @@ def parse(page: str) -> Node:
                         break
                 elif stack[i].tag in limit or stack[i].tag in BLOCK and stack[i].tag not in closed:
                     break
-        node = Node(tag, *_attributes(found[4]))
+        node = Node(tag, *_attributes(found[4], tag))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
@@ -203,7 +217,28 @@ def fold(items: list) -> list:
                 out.append(["(" + " ".join(kinds) + ")", "+", group])
             at += count * size
         items = out
-    return items[:LEVEL]
+    return items if len(items) <= LEVEL else _gaps(items)
+
+
+def _gaps(items: list) -> list:
+    """The stream with each run of optionals as one group, which holds a slot if they do; what every page has stays as it is."""
+    out: list = []
+    run: list = []
+    for item in [*items, None]:
+        if item is not None and _OFTEN[item[1]][0] == 0:
+            run.append(item)
+            continue
+        if run:
+            out.append(["(...)", "*", [["#", "*", None]] if literals(run)[1] else []])
+            run = []
+        if item is not None:
+            out.append(item)
+    return out
+
+
+def _literal(text: str) -> str:
+    """How wrappers hold a text."""
+    return text if len(text) <= LITERAL else f"\0{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
 def align(a: list, b: list) -> list:
@@ -226,7 +261,7 @@ def stream(node: Node, depth: int = 0) -> list:
         if isinstance(child, str):
             text = " ".join(child.split())
             if text and not (items and items[-1][0] == "#"):
-                items.append(["#", "", text if len(text) <= LITERAL else None])
+                items.append(["#", "", _literal(text)])
             elif text:
                 items[-1] = ["#", "", None]
         elif not child.noise and child.tag in BLOCK:
@@ -364,7 +399,7 @@ def extract(page: str, site: set[tuple[str, str]] | None = None) -> str:
         raw: list = []
         _blocks(node, path, raw, node is not root)
         lines = [(p, " ".join("".join(parts).split())) for p, parts in (x for x in raw if x is not None)]
-        texts.append([t for p, t in lines if t and not (site and (p, t) in site)])
+        texts.append([t for p, t in lines if t and not (site and (p, _literal(t)) in site)])
     sizes = [sum(map(len, t)) for t in texts]
     most = max(sizes, default=0)
     return "\n".join(line for t, n in zip(texts, sizes, strict=True) if 5 * n >= most for line in t)

@@ -322,3 +322,21 @@ def test_wrapper_drops_site_text(spark):
     assert found[3]["text"] == "t3\ntext 3\ntwo & three<.\na\nb" or "Thanks" not in found[3]["text"]
     assert "Thanks" in found[51]["text"] and found[50]["text"] == "" and found[50]["n_chars"] == 0
     assert len(found) == 14 and html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_long_levels_and_long_notices_are_the_sites_own():
+    notice = "All rights in these pages belong to their owner. " * 5
+    rng = random.Random(4)
+    kinds = ["h2", "hr", "ul", "ol", "table", "blockquote", "pre", "dl", "figure", "details"]
+
+    def page(i):
+        own = "".join(f"<div class='k{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}'><{k}>{i} {j}</{k}></div>" for j, k in enumerate(rng.choices(kinds, k=90)))
+        return f'<div id="post-{i}" class="post-{1000 + i}"><p>text {i}</p>{own}<section>Closing line</section><pre>{notice}</pre></div>'
+
+    wrapper = html.stream(html.parse(page(0)))
+    for i in range(1, 30):
+        wrapper = html.align(wrapper, html.stream(html.parse(page(i))))
+    found, slot = html.literals(wrapper)
+    text = html.extract(page(50), set(map(tuple, found)))
+    assert slot and "text 50" in text and "50 89" in text and "Closing line" not in text and "rights" not in text
+    assert len(wrapper[0][2]) < 3 * html.LEVEL
