@@ -17,7 +17,7 @@ go by element, role, class or id.  The article is the ``article`` element, else
 
 Defined cases: null html is an empty page; broken markup is closed as browsers
 do for the common cases; a null or strange url is a host of its own; hosts with
-fewer than ``LEAST`` pages or without a slot keep their literals; extra columns
+fewer than ``LEAST`` different pages (copies count once) or without a slot keep their literals; extra columns
 are not read.
 """
 
@@ -294,28 +294,42 @@ def literals(wrapper: list, path: str = "") -> tuple[list[list[str]], bool]:
     return found, slot
 
 
+def _identity(root: Node) -> int:
+    """A 64-bit hash of a page's texts outside headings and noise: copies of a page have one identity."""
+    digest, stack = hashlib.blake2b(digest_size=8), [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            digest.update(" ".join(node.split()).encode("utf-8", "surrogatepass") + b"\0" if node.strip() else b"")
+        elif not node.noise and node.tag not in HEADINGS:
+            stack.extend(reversed(node.children))
+    return int.from_bytes(digest.digest(), "big", signed=True)
+
+
 def fit_wrappers(pages: DataFrame) -> DataFrame:
     """(host, literals: JSON) of (host, html): hosts whose wrapper has literals that count."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            found: dict[str, tuple[list, int]] = {}
+            found: dict[str, tuple[list, set[int]]] = {}
             for host, page in set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                one = stream(parse(page or ""))
+                root = parse(page or "")
+                one = stream(root)
                 known = found.get(host)
-                found[host] = (align(known[0], one), known[1] + 1) if known else (one, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())], names=["host", "wrapper", "n"])
+                found[host] = (align(known[0], one) if known else one, {*(known[1] if known else ()), _identity(root)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w, _ in found.values()], pa.string()), pa.array([sorted(x)[:LEAST] for _, x in found.values()], pa.list_(pa.int64()))], names=["host", "wrapper", "seen"])
 
     def join(given: pd.DataFrame) -> pd.DataFrame:
         wrapper: list | None = None
         for text in sorted(given["wrapper"]):
             wrapper = json.loads(text) if wrapper is None else align(wrapper, json.loads(text))
-        return pd.DataFrame({"host": [given["host"].iloc[0]], "wrapper": [json.dumps(wrapper, ensure_ascii=False)], "n": [int(given["n"].sum())]})
+        return pd.DataFrame({"host": [given["host"].iloc[0]], "wrapper": [json.dumps(wrapper, ensure_ascii=False)], "seen": [sorted({int(x) for own in given["seen"] for x in own})[:LEAST]]})
 
-    parts = pages.select("host", "html").mapInArrow(first, "host string, wrapper string, n long")
+    parts = pages.select("host", "html").mapInArrow(first, "host string, wrapper string, seen array<long>")
+    # the LEAST smallest identities tell whether a host has so many different pages, over all batches
     for salt in (F.pmod(F.xxhash64("wrapper"), F.lit(64)), F.lit(0)):  # parts of a common host are joined apart first
-        parts = parts.groupBy("host", "wrapper").agg(F.sum("n").alias("n")).withColumn("salt", salt)
-        parts = parts.groupBy("host", "salt").applyInPandas(join, "host string, wrapper string, n long")
+        parts = parts.groupBy("host", "wrapper").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, LEAST).alias("seen")).withColumn("salt", salt)
+        parts = parts.groupBy("host", "salt").applyInPandas(join, "host string, wrapper string, seen array<long>")
 
     def constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +340,7 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
                     rows.append((host, json.dumps(texts, ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "literals"])
 
-    return parts.where(F.col("n") >= LEAST).select("host", "wrapper").mapInArrow(constants, "host string, literals string")
+    return parts.where(F.size("seen") >= LEAST).select("host", "wrapper").mapInArrow(constants, "host string, literals string")
 
 
 # ---------------------------------------------------------------- extraction

@@ -340,3 +340,12 @@ def test_long_levels_and_long_notices_are_the_sites_own():
     text = html.extract(page(50), set(map(tuple, found)))
     assert slot and "text 50" in text and "50 89" in text and "Closing line" not in text and "rights" not in text
     assert len(wrapper[0][2]) < 3 * html.LEVEL
+
+
+def test_copies_of_a_page_are_no_evidence(spark):
+    """However the copies are dealt over partitions."""
+    copy = "<article><h1>Big</h1><p>The lead line.</p><div>A short quotation.</div><ul><li>a<li>b</ul></article>"
+    rows = [(i, "http://c.example/", copy) for i in range(40)] + [(100 + i, "http://c.example/", copy + f"<script>{i}</script>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 16):
+        assert {r["text"] for r in html.extract_pages(df.repartition(parts)).collect()} == {"Big\nThe lead line.\nA short quotation.\na\nb"}
