@@ -414,9 +414,7 @@ def extract(page: str, site: set[tuple[str, str]] | None = None) -> str:
         _blocks(node, path, raw, node is not root)
         lines = [(p, " ".join("".join(parts).split())) for p, parts in (x for x in raw if x is not None)]
         texts.append([t for p, t in lines if t and not (site and (p, _literal(t)) in site)])
-    sizes = [sum(map(len, t)) for t in texts]
-    most = max(sizes, default=0)
-    return "\n".join(line for t, n in zip(texts, sizes, strict=True) if 5 * n >= most for line in t)
+    return "\n".join(line for t in texts for line in t)
 
 
 def host_of(url: Column) -> Column:

@@ -349,3 +349,8 @@ def test_copies_of_a_page_are_no_evidence(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for parts in (1, 16):
         assert {r["text"] for r in html.extract_pages(df.repartition(parts)).collect()} == {"Big\nThe lead line.\nA short quotation.\na\nb"}
+
+
+def test_short_articles_stay():
+    long = "word " * 200
+    assert html.extract(f"<article><p>{long}</article><article><p>short news</article><article class='ad'>buy</article>") == f"{long.strip()}\nshort news"
