@@ -134,25 +134,25 @@ def _unplaned(data: memoryview, n: int, kind: type) -> np.ndarray:
 
 
 def _pack(a: np.ndarray, c: np.ndarray, ids: np.ndarray, variants: np.ndarray, positions: np.ndarray) -> bytes:
-    """Records ordered by id."""
+    """Records ordered by id; variants of one byte (none) or eight."""
     steps = np.diff(ids, prepend=ids[:1]) if len(ids) else ids
-    return len(a).to_bytes(4, "little") + int(ids[0]).to_bytes(8, "little", signed=True) + b"".join([a.tobytes(), c.tobytes(), _planes(steps), _planes(variants), _planes(positions)])
+    return len(a).to_bytes(4, "little") + int(ids[0]).to_bytes(8, "little", signed=True) + variants.itemsize.to_bytes(1, "little") + b"".join([a.tobytes(), c.tobytes(), _planes(steps), _planes(variants), _planes(positions)])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     view, n = memoryview(blob), int.from_bytes(blob[:4], "little")
-    first, at, out = int.from_bytes(blob[4:12], "little", signed=True), 12, []
+    first, at, out = int.from_bytes(blob[4:12], "little", signed=True), 13, []
     for kind in (np.uint64, np.uint64):
         out.append(np.frombuffer(view[at : at + 8 * n], kind))
         at += 8 * n
-    for kind in (np.int64, np.uint16, np.uint32):
+    for kind in (np.int64, np.uint8 if blob[12] == 1 else np.int64, np.uint32):
         out.append(_unplaned(view[at:], n, kind))
         at += np.dtype(kind).itemsize * n
     out[2] = out[2].cumsum() + first
     return tuple(out)
 
 
-_MARKS = "bucket int, blob binary, id long, variant int, position int, kind int"
+_MARKS = "bucket int, blob binary, id long, variant long, position int, kind int"
 _WHOLE, _OPEN, _CROWDED = 0, 1, 2
 
 
@@ -164,7 +164,7 @@ def _marks(bucket: list, blobs: list, ids: np.ndarray, variants: np.ndarray, pos
         pa.concat_arrays([pa.array(bucket, pa.int32()), none(m, pa.int32())]) if m else pa.array(bucket, pa.int32()),
         pa.concat_arrays([pa.array(blobs, pa.binary()), none(m, pa.binary())]) if m else pa.array(blobs, pa.binary()),
         pa.concat_arrays([none(n, pa.int64()), pa.array(ids, pa.int64())]),
-        pa.concat_arrays([none(n, pa.int32()), pa.array(variants.astype(np.int32))]),
+        pa.concat_arrays([none(n, pa.int64()), pa.array(variants.astype(np.int64))]),
         pa.concat_arrays([none(n, pa.int32()), pa.array(positions.astype(np.int32))]),
         pa.concat_arrays([none(n, pa.int32()), pa.array(kinds.astype(np.int32))]),
     ]
@@ -202,7 +202,9 @@ def _anchor_step(buckets: int):
         for batch in slices(batches, "text", SLICE):
             if len(batch) == 0:
                 continue
-            every_id, every_variant = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint16)
+            every_id, every_variant = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not every_variant.any():
+                every_variant = every_variant.astype(np.uint8)
             documents = texts(batch.column(2))
             for which, offsets, parts in _segments(documents):
                 found = _Anchored(parts)
@@ -310,13 +312,13 @@ def _context_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 keys = np.concatenate([keys[:n], *sides])
                 again = np.concatenate([np.arange(len(positions)), np.arange(n, len(positions))])
                 positions, contexts, left, right = positions[again], contexts[again], left[again], right[again]
-            out.append((np.full(len(keys), i if i is not None else _NO_ID), np.full(len(keys), v), keys, positions, left * 64 + right, contexts))
+            out.append((np.full(len(keys), i if i is not None else _NO_ID), np.full(len(keys), v, np.int64), keys, positions, left * 64 + right, contexts))
         if not out:
             continue
         i, v, k, p, e, x = (np.concatenate(y) for y in zip(*out, strict=True))
         x = np.ascontiguousarray(x)
         held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(v.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32)), held], names=["key", "id", "variant", "position", "edges", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(v), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32)), held], names=["key", "id", "variant", "position", "edges", "context"])
 
 
 def covered_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -437,7 +439,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     given = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(int(_NO_ID))).alias("id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     twice = given.groupBy("id").count().where("count > 1").limit(1).count()
-    variant = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int") if twice else F.lit(0)
+    variant = F.xxhash64("text") if twice else F.lit(0).cast("long")
     given = given.select("id", variant.alias("variant"), "text")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * PER_BUCKET)))
     buckets = max(4 * partitions, -(-size // PER_BUCKET))
@@ -453,9 +455,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     cut = own.join(going_on, keys)
     if twice:  # equal rows: once is enough
         cut = cut.dropDuplicates(keys)
-    cut = cut.select("id", F.col("variant") if twice else F.lit(0).alias("variant"), "text", "open", "crowded")
-    contexts = cut.mapInArrow(_context_step, "key long, id long, variant int, position int, edges int, context binary")
-    runs = contexts.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_sort_step, "id long, variant int, start int, stop int")
+    cut = cut.select("id", F.col("variant") if twice else F.lit(0).cast("long").alias("variant"), "text", "open", "crowded")
+    contexts = cut.mapInArrow(_context_step, "key long, id long, variant long, position int, edges int, context binary")
+    runs = contexts.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_sort_step, "id long, variant long, start int, stop int")
     whole = marks.where(f"kind = {_WHOLE}").select("id", "variant", (position - REACH).alias("start"), (position + ANCHOR + REACH).alias("stop"))
     every = whole.union(runs).groupBy(*keys).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     joined = own.join(every, keys, "left").select(F.when(F.col("id") != int(_NO_ID), F.col("id")).cast(kind).alias("doc_id"), F.lit(0).alias("variant"), "text", "starts", "stops")

@@ -308,6 +308,20 @@ def test_repeats_with_repeated_and_null_ids(spark):
     assert rows == sorted([(1, 120, 0), (1, 120, 0), (1, 120, 0), (2, 240, 120), (None, 120, 120), (None, 120, 120)], key=str)
 
 
+def test_repeats_tell_texts_of_one_id_apart(spark):
+    """Two texts whose 64-bit hashes agree in the low 16 bits, under one id and without an id."""
+    rng, seen = random.Random(11), {}
+    while True:
+        text = "".join(rng.choice("abcdef") for _ in range(120))
+        low = xxhash.xxh64_intdigest(text, 42) & 0xFFFF
+        if low in seen:
+            break
+        seen[low] = text
+    df = spark.createDataFrame([(0, seen[low]), (1, seen[low]), (1, text), (None, seen[low]), (None, text + "x")], "doc_id long, text string")
+    rows = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substrings.remove_repeats(df).collect()), key=str)
+    assert rows == sorted([(0, 120, 0), (1, 120, 120), (1, 120, 0), (None, 120, 120), (None, 121, 120)], key=str)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_deep_shallow_sort(seed):
     rng = np.random.default_rng(seed)
