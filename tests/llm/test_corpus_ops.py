@@ -37,6 +37,11 @@ def test_components(spark):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert found == {x: union.find(x) for x in touched}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    named = spark.createDataFrame([(a % 5 > 0, f"n{a:03}", b % 5 > 0, f"n{b:03}") for a, b in edges], "p boolean, q string, r boolean, s string")
+    named = named.select(F.struct(F.col("p").alias("x"), F.col("q").alias("y")).alias("a"), F.struct(F.col("r").alias("x"), F.col("s").alias("y")).alias("b"))
+    found = {(r["node"]["x"], r["node"]["y"]): (r["component"]["x"], r["component"]["y"]) for r in graph.components(named).collect()}
+    node = lambda x: (x % 5 > 0, f"n{x:03}")
+    assert found == {node(x): min(node(y) for y in touched if union.find(y) == union.find(x)) for x in touched}
 
 
 # ---------------------------------------------------------------- simhash
@@ -76,11 +81,84 @@ def test_simhash_against_brute_force(spark):
                 union.join(a, b)
     assert found == {i: (f"{m:016x}", union.find(i)) for i, m in marks.items()}
     assert len({union.find(i) for i in marks}) < len(marks) - 15
-    kept = simhash.keep_first(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {union.find(i) for i in marks}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_with_repeated_and_null_ids(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(None if rng.random() < 0.3 else rng.randrange(60), t) for t in near_texts() * 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks, union = [brute_fingerprint(t) for _, t in rows], Union()
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            if (marks[a] ^ marks[b]).bit_count() <= 4 or (i is not None and i == j):
+                union.join(a, b)
+    least = defaultdict(lambda: -1)
+    for a, (i, _) in sorted(enumerate(rows), key=lambda x: -1 if x[1][0] is None else -x[1][0]):
+        if i is not None:
+            least[union.find(a)] = i
+    want = sorted((-1 if i is None else i, f"{marks[a]:016x}", least[union.find(a)]) for a, (i, _) in enumerate(rows))
+    plain = lambda df: sorted(tuple(-1 if x is None else x for x in r) for r in df.collect())
+    assert plain(simhash.near_duplicates(df)) == want
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, sampled=False: links(distinct, sampled, 2))  # long lists go in tiles
+    assert plain(simhash.near_duplicates(df)) == want
+    assert sorted(str(tuple(r)) for r in simhash.keep_first(df).collect()) == sorted(map(str, _kept(spark, rows)))
+
+
+def _kept(spark, rows):
+    """What ``keep_first`` keeps, where no similarity is near the bound."""
+    union, sets, open_ = Union(), [], []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            similarity = len(x & y) / len(x | y)
+            if similarity > 0.84:
+                union.join(a, b)
+            elif similarity > 0.65:
+                open_.append((a, b))
+    assert all(union.find(a) == union.find(b) for a, b in open_)
+    hashes = spark.createDataFrame([(t or "",) for _, t in rows], "t string").select(F.xxhash64("t").alias("h")).collect()
+    best = {}
+    for a, (i, t) in enumerate(rows):
+        best[union.find(a)] = min(best.get(union.find(a), ((True, 0, 2**63),)), ((i is None, i or 0, hashes[a]["h"]), a), key=lambda x: x[0])
+    return [rows[a] for _, a in best.values()]
+
+
+def test_keep_first(spark):
+    rows = [(1000 - i, t) for i, t in enumerate(near_texts()) if t is None or t.lower() != "one two"]
+    rows += [(5, "one two"), (5, "three four five six seven eight"), (5, "one two"), (None, "nine ten"), (None, "nine  ten"), (None, "eleven")]
+    named = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, _own0 string, fp int, h int, _OWN1 int")
+    kept = simhash.keep_first(named)
+    assert kept.columns == named.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = _kept(spark, rows)
+    clean = lambda x: sorted(((i, " ".join((t or "").split())) for i, t in x), key=str)
+    assert clean(found) == clean(want) and len(found) < len(rows) - 30
+    assert {i for i, t in found if t and "three" in t} == {5} and sum(t == "one two" for _, t in found) == 1
+    assert simhash.keep_first(named.limit(0)).count() == 0
+
+
+def test_similar_texts_share_bytes():
+    rng = random.Random(3)
+    caught = defaultdict(list)
+    for _ in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(300), rng.randrange(1, 16)):
+            other[at] = "x"
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (words, other)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        a, b = (simhash.sampled_fingerprint(" ".join(w).encode()) for w in (words, other))
+        listed = any((a[4 * g : 4 * g + 4] == b[4 * g : 4 * g + 4]).all() for g in range(simhash.GROUPS))
+        caught[int(similarity * 20) / 20].append(bool(listed and (a == b).sum() >= simhash.SHARED))
+    share = {k: sum(v) / len(v) for k, v in caught.items()}
+    assert share[0.8] > 0.9 and share[0.85] > 0.98 and share[0.9] == 1 and share.get(0.6, 0) < 0.1
+    assert (simhash.sampled_fingerprint(b"") == 0).all()
+
+
 def test_every_link_meets_in_the_index():
     rng = random.Random(1)
     for _ in range(300):
@@ -91,7 +169,7 @@ def test_every_link_meets_in_the_index():
         same = {i for i in range(8) if (a ^ b) >> 8 * i & 255 == 0}
         assert any(set(c) <= same for c in simhash.CHOICES)
     found = np.array([rng.getrandbits(64) & ~0xFF | x for x in range(40)], np.uint64)
-    assert len(simhash._forest(found, 4)[0]) == 0
+    assert not list(simhash._forest(found, found.view(np.uint8).reshape(-1, 8), simhash._near_bits))
 
 
 # ---------------------------------------------------------------- secrets
