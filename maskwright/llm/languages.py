@@ -10,14 +10,17 @@ the log weights that lead to the lower order.  A text goes to the language with
 the lowest cross-entropy per symbol, and is rejected if that lies further above
 what the language's own texts of that length show than a calibrated bound.
 
-The models are fitted on a bounded sample: at most ``PER_LANGUAGE`` documents of
-each language and ``IN_ALL`` in all, none over ``LONGEST`` characters, the first
-by a hash of the id.  Every document is scored, whole.
+The models are fitted on a bounded sample: of each language the same number of
+documents with a letter, at most ``PER_LANGUAGE`` and at least one, about
+``IN_ALL`` in all, the least by a hash of id and text; of a longer text ``LONGEST``
+characters are learned, from its first letter on.  Every document is scored, whole.
 
 Defined cases: null text and text without a letter give ``und``, score 0,
-rejected; without any document to learn from every text gives ``und``;
-languages tie to the first by code point; extra columns of the input are not
-read.
+rejected; without any document to learn from, as in an empty table, every text
+gives ``und``; languages tie to the first by code point; rows of one id are
+scored each by its own text, and learned from once if the text is the same;
+very long texts are scored whole, in memory that grows with the text; extra
+columns of the input aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from maskwright.llm.common import crc_mod, slices
+from maskwright.llm.common import crc_mod, ensure_checkpoint_dir, slices
 
 ORDER = 5
 PER_LANGUAGE, IN_ALL, LONGEST = 400, 4000, 50_000
@@ -231,26 +235,29 @@ def fit(samples: dict[str, list[str]]) -> LanguageModels:
 
 def learn(docs: DataFrame, eligible: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> LanguageModels:
     """Models fitted on the bounded sample of the ``eligible`` rows."""
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), docs[lang_column].alias("lang"), eligible.alias("ok"))
-    rows = rows.where("ok and lang is not null")  # the texts are read once, of the chosen rows
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(IN_ALL).collect()
+    ensure_checkpoint_dir(docs.sparkSession)
+    row = F.xxhash64(F.coalesce(docs[id_column].cast("string"), F.lit("")), docs[text_column], F.lit(7))
+    rows = docs.select(docs[lang_column].alias("lang"), docs[text_column].alias("text"), row.alias("h"), eligible.alias("ok")).where("ok and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    marked = rows.select("lang", "h").checkpoint()
+    counts = marked.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row per language
     each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, len(counts))))
-    # a share of each language, by the hash of the id: about `each` documents, without a sort by language
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, share double")
-    h = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit(7)), 11) * (2.0**-53)
-    first = rows.select("id", "lang", h.alias("h")).join(F.broadcast(shares), "lang").where("h < share")  # at most IN_ALL rows are broadcast
-    chosen = first.orderBy(F.col("h") / F.col("share"), "id").limit(IN_ALL).select(F.col("id").alias("chosen"))
-    picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi").where(F.length("text").between(1, LONGEST))  # at most IN_ALL ids
+    # a share of each language's hashes that holds the `each` least of them many times over, so that no language is sorted whole
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (3.0 * each + 60) / max(1, r["n"]))) for r in counts], "lang string, share double")
+    low = marked.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned("h", 11) * (2.0**-53) < F.col("share")).select("lang", "h").distinct()  # a row per language is broadcast
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    chosen = low.withColumn("place", place).where(F.col("place") <= each).select(F.col("lang").alias("own"), F.col("h").alias("chosen"))
+    picked = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("own")) & (F.col("h") == F.col("chosen")), "left_semi")  # at most `each` a language
+    picked = picked.select("lang", "h", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, LONGEST).alias("text")).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        found = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
         samples: dict[str, list[str]] = {}
-        for lang, _, text in rows:
+        for lang, _, text in found:
             samples.setdefault(lang, []).append(text)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(samples))], pa.binary())], names=["models"])
 
     # the bounded sample is fitted in one task, so that the driver holds only the models
-    fitted = picked.select("lang", "id", "text").repartition(1).mapInArrow(run, "models binary").collect()
+    fitted = picked.repartition(1).mapInArrow(run, "models binary").collect()
     return pickle.loads(fitted[0]["models"]) if fitted else LanguageModels()
 
 

@@ -264,6 +264,27 @@ def test_languages_on_tables(spark):
     assert nothing.names == [] and {r["lang_pred"] for r in languages.identify(df, nothing).collect()} == {"und"}
 
 
+def test_no_language_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(languages, "IN_ALL", 300)
+    monkeypatch.setattr(languages, "LONGEST", 400)
+    rng = random.Random(4)
+    words = {f"l{n:03}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(8)] for n in range(200)}
+    rows = [(1000 * n + i, " ".join(rng.choices(words[lang], k=12)) if i % 3 else "12 - 34", lang) for n, lang in enumerate(words) for i in range(12)]
+    rows += [(-i, "1234567890 " * 300 + "zzz yyy " * 400, "long") for i in range(1, 4)]
+    rows += [(None, "copy copier copies", "copied")] * 700 + [(7, None, "empty"), (7, "?", "empty"), (8, "xxx qqq", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    models = languages.learn(df, F.lit(True))
+    assert models.names == sorted([*words, "long", "copied"])
+    again = languages.learn(df.repartition(3), F.lit(True))
+    assert all((a == b).all() for a, b in zip(models.grams, again.grams, strict=True))
+    found = {r["doc_id"]: r["lang_pred"] for r in languages.identify(df.where("doc_id is null or doc_id <> 7"), models).collect()}
+    assert found[None] == "copied" and found[-1] == "long"
+    assert sum(found[i] == (lang if t[0] != "1" else "und") for i, t, lang in rows if lang in words and i > 8) > 0.97 * 2390
+    assert {r["lang_pred"] for r in languages.identify(df.where("doc_id = 7 and lang = 'empty'"), models).collect()} == {"und"}
+
+
+
+
 # ---------------------------------------------------------------- toxicity
 
 
