@@ -16,9 +16,11 @@ Characters without a piece fall back to the pieces of their UTF-8 bytes and
 separate what stands on their sides.
 
 Supported models: BPE, byte fallback, identity normalisation with one space
-put in front (others are refused).  Defined cases: null text counts as empty
-and has no ids; whole texts of any length; the model's path is a parameter and
-must exist on every executor.
+put in front (others are refused).  Defined cases: null and empty text have no
+ids; whole texts of any length, in memory that grows with the text; each row of
+a repeated id is encoded by its own text; an empty table gives an empty result;
+extra columns aren't read, whatever their names; ids in any order decode; the
+model's path is a parameter and must exist on every executor.
 """
 
 from __future__ import annotations
@@ -209,10 +211,15 @@ class PieceCoder:
 
 def _lenient(data: bytes) -> str:
     """UTF-8, with a replacement character for each byte that is part of no character."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as e:
-        return data[: e.start].decode() + "�" + _lenient(data[e.start + 1 :])
+    out, at = [], 0
+    while at < len(data):
+        try:
+            out.append(data[at:].decode())
+            break
+        except UnicodeDecodeError as e:
+            out += [data[at : at + e.start].decode(), "\ufffd"]
+            at += e.start + 1
+    return "".join(out)
 
 
 _coders: dict[str, PieceCoder] = {}
