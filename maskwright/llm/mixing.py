@@ -18,8 +18,10 @@ have blocks.  All draws are hashes of ids, so reruns agree.
 
 Defined cases: null text and text without words have size 0 and are taken
 floor(rate) times (0 words); a null source is a source, ordered last; sources
-without words have target 0; rows with the same id are documents of their own
-and settle in one block; extra columns are not read.
+without words have target 0; rows with the same id, or a null one, are documents
+of their own, told apart by their texts (rows equal in both settle in one
+block); very long texts are counted whole; an empty table gives an empty result;
+extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskwright.llm.common import ensure_checkpoint_dir
+from maskwright.llm.common import ensure_checkpoint_dir, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -44,8 +46,12 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each document."""
-    return docs.select(docs[id_column].alias("doc_id"), docs[source_column].alias("source"), F.coalesce(F.regexp_count(docs[text_column], F.lit(_WORDS)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, mark): words of each document, and a hash of its text that tells rows of one id apart."""
+    return docs.select(docs[id_column].alias("doc_id"), docs[source_column].alias("source"), F.coalesce(F.regexp_count(docs[text_column], F.lit(_WORDS)), F.lit(0)).cast("long").alias("size"), _mark(docs[text_column]).alias("mark"))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -75,8 +81,8 @@ def _uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) * (2.0**-53)
 
 
-def _entry(hash_: Column, id_: Column, size: Column, p: Column) -> Column:
-    return F.struct(hash_.alias("h"), id_.alias("id"), size.alias("size"), p.alias("p"))
+def _entry(like: Column, p: Column) -> Column:
+    return F.struct(*[like[c].alias(c) for c in ("h", "id", "mark", "size")], p.alias("p"))
 
 
 def _pair(state: Column, x: Column, level: int) -> Column:
@@ -91,7 +97,7 @@ def _pair(state: Column, x: Column, level: int) -> Column:
     def after(move: Column) -> Column:
         pa, px = a["p"] + move, x["p"] - move / ratio
         is_whole = (pa <= _NEAR) | (pa >= 1 - _NEAR)
-        ea, ex = _entry(a["h"], a["id"], a["size"], pa), _entry(x["h"], x["id"], x["size"], px)
+        ea, ex = _entry(a, pa), _entry(x, px)
         return F.struct(F.when(is_whole, ex).otherwise(ea).alias("open"), F.concat(state["settled"], F.array(F.when(is_whole, ea).otherwise(ex))).alias("settled"))
 
     return F.transform(moved, after)[0]
@@ -99,16 +105,16 @@ def _pair(state: Column, x: Column, level: int) -> Column:
 
 def _fold(rows: DataFrame, level: int) -> DataFrame:
     """(source, block, folded: open document and settled ones) of each block."""
-    entries = F.array_sort(F.collect_list(F.struct("h", "id", "size", "p")))
+    entries = F.array_sort(F.collect_list(F.struct("h", "id", "mark", "size", "p")))
     grouped = rows.groupBy("source", "block").agg(entries.alias("all"))
-    kind = rows.select(F.struct("h", "id", "size", "p").alias("e")).schema["e"].dataType.simpleString()
+    kind = rows.select(F.struct("h", "id", "mark", "size", "p").alias("e")).schema["e"].dataType.simpleString()
     start = F.struct(F.col("all")[0].alias("open"), F.array().cast(f"array<{kind}>").alias("settled"))
     folded = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, lambda s, x: _pair(s, x, level))
     return grouped.select("source", "block", folded.alias("f"))
 
 
 def _settle(rows: DataFrame, largest: int) -> DataFrame:
-    """(source, e: settled document) of every row of (source, h, id, size, p, block): the reduction tree."""
+    """(source, e: settled document) of every row of (source, h, id, mark, size, p, block): the reduction tree."""
     blocks, settled, level = max(1, math.ceil(largest / BLOCK)), None, 0
     while True:
         folded = _fold(rows, level).checkpoint()
@@ -121,13 +127,14 @@ def _settle(rows: DataFrame, largest: int) -> DataFrame:
 
 
 def copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies) of every row of ``sizes``."""
+    """(doc_id, mark, size, source, source_size, target, copies) of every row of ``sizes`` (without ``mark`` rows of one id and size settle in one block)."""
     ensure_checkpoint_dir(sizes.sparkSession)
+    sizes = sizes if "mark" in sizes.columns else sizes.withColumn("mark", F.lit(0).cast("long"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = aims.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole"))
     few = aims.count() <= BROADCAST
     side = F.broadcast if few else lambda df: df
-    rated = sizes.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).select("doc_id", "s.source", "size", "n", "source_size", "target", "whole", "part")
+    rated = sizes.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).select("doc_id", "mark", "s.source", "size", "n", "source_size", "target", "whole", "part")
     is_open = (F.col("size") > 0) & (F.col("part") > 0)
     in_class = F.lit(0)
     for i, least in enumerate(CLASSES, 1):
@@ -139,35 +146,41 @@ def copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     for number in sorted(largest):
         rows = opened.where(F.col("class") == number).drop("n")
         here = side(classes.where(F.col("class") == number).drop("class")).alias("c")
-        rows = rows.alias("r").join(here, F.expr("r.source <=> c.source")).select("doc_id", "r.source", "size", "part", "class_size", "c.n")
+        rows = rows.alias("r").join(here, F.expr("r.source <=> c.source")).select("doc_id", "mark", "r.source", "size", "part", "class_size", "c.n")
         if owed is None:
             rows = rows.withColumn("owed", F.lit(0.0))
         else:
-            rows = rows.alias("r").join(side(owed).alias("o"), F.expr("r.source <=> o.source"), "left").select("doc_id", "r.source", "size", "part", "class_size", "n", F.coalesce("o.owed", F.lit(0.0)).alias("owed"))
+            rows = rows.alias("r").join(side(owed).alias("o"), F.expr("r.source <=> o.source"), "left").select("doc_id", "mark", "r.source", "size", "part", "class_size", "n", F.coalesce("o.owed", F.lit(0.0)).alias("owed"))
         p = F.least(F.greatest(F.col("part") + F.col("owed") / F.col("class_size"), F.lit(0.0)), F.lit(1.0))
-        block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)))
-        h = F.xxhash64(F.col("doc_id").cast("string"), F.col("size"), F.lit(1))
-        done = _settle(rows.select("source", h.alias("h"), F.col("doc_id").alias("id"), "size", p.alias("p"), block.alias("block")), largest[number])
+        block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "mark", F.lit(2)), F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)))
+        h = F.xxhash64(F.col("doc_id").cast("string"), "mark", F.col("size"), F.lit(1))
+        done = _settle(rows.select("source", h.alias("h"), F.col("doc_id").alias("id"), "mark", "size", p.alias("p"), block.alias("block")), largest[number])
         every.append(done)
         missed = done.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).groupBy("s.source").agg(F.sum(F.col("e.size") * (F.col("part") - F.when(F.col("e.p") >= 0.5, 1).otherwise(0))).alias("owed"))
         owed = (missed if owed is None else missed.union(owed).groupBy("source").agg(F.sum("owed").alias("owed"))).checkpoint()
-    flat = rated.where(~is_open).select("doc_id", "size", "source", "source_size", "target", F.col("whole").alias("copies"))
+    flat = rated.where(~is_open).select("doc_id", "mark", "size", "source", "source_size", "target", F.col("whole").alias("copies"))
     for done in every:
-        up = done.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).select(F.col("e.id").alias("doc_id"), F.col("e.size").alias("size"), "s.source", "source_size", "target", (F.col("whole") + F.when(F.col("e.p") >= 0.5, 1).otherwise(0)).alias("copies"))
+        up = done.alias("s").join(side(known).alias("t"), F.expr("s.source <=> t.source")).select(F.col("e.id").alias("doc_id"), F.col("e.mark").alias("mark"), F.col("e.size").alias("size"), "s.source", "source_size", "target", (F.col("whole") + F.when(F.col("e.p") >= 0.5, 1).otherwise(0)).alias("copies"))
         flat = flat.union(up)
     return flat
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, copies) of every document."""
+def _mixed(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
     ensure_checkpoint_dir(docs.sparkSession)
     sizes = sized(docs, id_column, text_column, source_column).checkpoint()  # the texts are read once
-    found = copies(sizes, targets(sizes).checkpoint())
+    return copies(sizes, targets(sizes).checkpoint())
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, copies) of every document."""
+    found = _mixed(docs, id_column, text_column, source_column)
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """All columns of ``docs``, each row as often as the mix takes it (rows that share an id: as often as the most taken of them)."""
-    taken = mix(docs, id_column, text_column, source_column).groupBy(F.col("doc_id").alias("_own")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken, F.expr(f"`{id_column}` <=> _own"))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    """All columns of ``docs``, each row as often as the mix takes it (rows that share id, text and source: each as often as the most taken of them)."""
+    own, mark, source, times = unused(docs, 4)
+    taken = _mixed(docs, id_column, text_column, source_column).groupBy(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.col("source").alias(source)).agg(F.max("copies").alias(times))
+    joined = docs.join(taken, docs[id_column].eqNullSafe(taken[own]) & (_mark(docs[text_column]) == taken[mark]) & docs[source_column].eqNullSafe(taken[source]))
+    every = F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))
+    return joined.where(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], every.alias(own)).select(*[F.col(f"`{c}`") for c in docs.columns])
