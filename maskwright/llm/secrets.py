@@ -9,8 +9,9 @@ widely copied example; any other is a live-looking credential of its owner.
 
 Defined cases: null text counts as empty; a null source is an owner of its own;
 repeated ids get the sums of their rows for ``n_live`` and ``n_example``; a null
-id gets zeros there, but is masked like any other; empty tables give empty results; extra columns are not
-read (``redact`` returns them untouched).
+id gets zeros there, but is masked like any other; very long texts are searched
+whole; empty tables give empty results; extra columns aren't read, whatever
+their names (``redact`` returns them untouched).
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import ensure_checkpoint_dir
+from maskwright.llm.common import ensure_checkpoint_dir, unused
 
 OWNERS, REPOSITORIES = 3, 5
 MASK = "[SECRET]"
+#: Matches that are placed in one fold.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -69,7 +72,16 @@ def _spans(text: Column, kind: Kind, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("place"), stop.alias("stop"), F.lit(kind.name).alias("kind"), x["value"].alias("value"))
         return F.struct(stop.alias("at"), F.when(kept, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    folded = F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    def run(state: Column, part: Column) -> Column:
+        """A run of matches; a fold copies what it has gathered at every match, so it gathers few at a time."""
+        inner = F.aggregate(part, F.struct(state["at"].alias("at"), empty.alias("spans")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(state["runs"], F.array(x["spans"])).alias("runs")))[0]
+
+    def placed(found: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.slice(found, i * RUN + 1, F.lit(RUN)))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array(empty).alias("runs")), run, lambda s: F.flatten(s["runs"]))
+
+    folded = F.transform(F.array(found), placed)[0]  # bound, so that the matches are found once
     return F.when(_TESTS[kind.name](text), folded).otherwise(empty)
 
 
@@ -105,16 +117,16 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def _mended(kind: Kind, text: Column) -> Column:
-    """The text with the live values of one kind masked."""
+def _mended(kind: Kind, text: Column, live: str) -> Column:
+    """The text with the values of one kind masked whose hashes the column ``live`` lists."""
     pattern = F.lit(kind.pattern)
     parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("key"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("value"))
 
     def mend(x: Column) -> Column:
-        hit = (F.length(x["value"]) >= kind.least) & F.array_contains("_live", F.sha2(x["value"], 256))
+        hit = (F.length(x["value"]) >= kind.least) & F.array_contains(live, F.sha2(x["value"], 256))
         return F.concat(x["gap"], F.coalesce(x["key"], F.lit("")), F.when(hit, F.lit(MASK)).otherwise(F.coalesce(x["value"], F.lit(""))))
 
-    return F.when(F.col("_live").isNotNull() & _TESTS[kind.name](text), F.array_join(F.transform(parts, mend), "")).otherwise(text)
+    return F.when(F.col(live).isNotNull() & _TESTS[kind.name](text), F.array_join(F.transform(parts, mend), "")).otherwise(text)
 
 
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -122,7 +134,7 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ensure_checkpoint_dir(docs.sparkSession)
     spans = find_spans(docs, id_column, text_column, source_column).checkpoint()
     counts = classified(spans).groupBy("doc_id").agg(F.sum(F.when(F.col("example"), 0).otherwise(F.col("n"))).alias("live"), F.sum(F.when(F.col("example"), F.col("n")).otherwise(0)).alias("example"))
-    counts = counts.withColumnRenamed("doc_id", "own")
+    counts = counts.withColumnRenamed("doc_id", "own")  # all names here are this module's
     base = [kind for kind in KINDS if kind.base]
     digests = spans.select(
         "doc_id",
@@ -137,12 +149,13 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """All rows and columns; live-looking values in the text become ``MASK``, examples stay."""
     ensure_checkpoint_dir(docs.sparkSession)
+    live, own = unused(docs, 2)
     spans = find_spans(docs, id_column, text_column, source_column).where("size(spans) > 0").checkpoint()
-    live = classified(spans).where("not example").groupBy("doc_id").agg(F.collect_set("value_hash").alias("_live")).withColumnRenamed("doc_id", "_own")
-    joined = docs.join(live, docs[id_column].eqNullSafe(F.col("_own")), "left")
+    values = classified(spans).where("not example").groupBy("doc_id").agg(F.collect_set("value_hash").alias(live)).withColumnRenamed("doc_id", own)
+    joined = docs.join(values, docs[id_column].eqNullSafe(values[own]), "left")
     for kind in sorted(KINDS, key=lambda k: k.name != "key"):  # keys first: other kinds may match within them
-        joined = joined.withColumn(text_column, _mended(kind, F.col(text_column)))
-    return joined.select(*docs.columns)
+        joined = joined.withColumn(text_column, _mended(kind, F.col(f"`{text_column}`"), live))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The twin's kinds: DuckDB's engine has no possessive repeats, so that it knows a private key by its header line only and differs where there is one.
