@@ -9,19 +9,25 @@ the share of toxic texts pi, the risk is
 
 for the logistic loss; where the bracket falls below zero (the classifier fits
 toxic texts in U as harmless ones), the step goes the other way, as
-non-negative PU learning asks.  Training is plain numpy on the driver over a
-bounded sample: at most ``POSITIVES`` toxic and ``UNLABELLED`` other rows, none
-over ``LONGEST`` characters, the first by a hash of the id; the ``FEATURES``
-features that differ most between P and U are kept.  Every document is scored,
-whole; a word's weight is looked up once per process.
+non-negative PU learning asks.  The share pi is given, or estimated from P and
+U.  Training is plain numpy in one task over a bounded sample: at most
+``POSITIVES`` toxic and ``UNLABELLED`` rows of any kind, the least by a hash of
+id and text, of longer texts ``LONGEST`` characters; the ``FEATURES`` features
+that differ most between P and U are kept.  Every document is scored, whole; a
+word's weight is looked up once per process.
 
 Defined cases: null text counts as empty and gets the score of a text without
-features; repeated label rows count once, toxic if one says so; without labels
-every score is 0.
+features; very long texts are scored whole, in memory that grows with their
+different words; repeated label rows count once, toxic if one says so; labels of
+a null id count for nothing; rows of a null or repeated id are learned and scored
+each by its own text; without toxic labels, or with empty tables, every score is
+that of a text without features, about 0; extra columns aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,11 +40,13 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import crc_mod, slices
 
-POSITIVES, UNLABELLED, LONGEST = 1500, 4500, 50_000
+POSITIVES, UNLABELLED, LONGEST = 1500, 4500, 20_000
 FEATURES = 1500
 #: Standard errors by which a feature's share in P exceeds that in U, so that few of the many features pass by chance.
 LEAST = 4.5
 WORDS = 200_000
+#: Share of P that a rule must pick to bound the prior.
+RULE = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -83,24 +91,24 @@ class ToxicityModel:
 
 def select_features(positive: list[str], unlabelled: list[str]) -> list[str]:
     """Features with the largest signed chi-like difference between P and U, commonest in P."""
-    counts = []
-    for texts in (positive, unlabelled):
-        words: Counter[str] = Counter()
-        seen: Counter[str] = Counter()
-        for t in texts:
-            own: set[str] = set()
-            for w in words_of(t):
-                own.update(features_of(w))
-            seen.update(own)
-            if len(seen) > 3_000_000:  # memory: drop what occurred once; such features never rank
-                seen = Counter({k: v for k, v in seen.items() if v > 1})
-        counts.append(seen)
-    p, u = counts
+
+    def features(text: str) -> set[str]:
+        own: set[str] = set()
+        for w in words_of(text):
+            own.update(features_of(w))
+        return own
+
+    p: Counter[str] = Counter()
+    for t in positive:
+        p.update(features(t))
+    some = {f for f, c in p.items() if c >= 3}
+    u: Counter[str] = Counter()
+    for t in unlabelled:
+        u.update(some & features(t))
     n, m = max(1, len(positive)), max(1, len(unlabelled))
     ranked = []
-    for feature, c in p.items():
-        if c < 3:
-            continue
+    for feature in some:
+        c = p[feature]
         a, b = c / n, u[feature] / m
         pooled = (c + u[feature] + 1) / (n + m)
         z = (a - b) / np.sqrt(pooled * (1 / n + 1 / m))
@@ -109,10 +117,42 @@ def select_features(positive: list[str], unlabelled: list[str]) -> list[str]:
     return [f for _, f in sorted(ranked)[:FEATURES]]
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> ToxicityModel:
-    """Adam on the non-negative PU risk."""
+def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of toxic texts in U, from the texts' features (matrices of 0 and 1, the telling features first).
+
+    A set of texts that a rule picks holds at least prior * (its share of P) of
+    U; so the least ratio of its shares in U and P bounds the prior from above,
+    and meets it if the rule picks toxic texts only.  The rules: to hold one of
+    the first k features; those that pick less than ``RULE`` of P don't count.
+    """
+    has_p, has_u = (np.logical_or.accumulate(x > 0, axis=1).mean(0) for x in (p, u))
+    fit = has_p >= min(RULE, has_p[-1])
+    ratio = (has_u[fit] + 1 / (2 * len(u))) / has_p[fit]
+    return float(np.clip(ratio.min(), 1e-4, 0.9))
+
+
+def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, bias: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk of P as toxic, bracket of the harmless class, the step's gradient by weights and bias) of logistic losses.
+
+    With a bracket below zero the gradient is that of the bracket, turned round.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    zp, zu = p @ w + bias, u @ w + bias
+    sp, su = sigmoid(zp), sigmoid(zu)
+    toxic = prior * np.logaddexp(0, -zp).mean()
+    harmless = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # derivatives of the mean losses by the margins
+    toxic_p = -prior * (1 - sp) / len(p)
+    harmless_u, harmless_p = su / len(u), -prior * sp / len(p)
+    gp, gu = (toxic_p + harmless_p, harmless_u) if harmless >= 0 else (-harmless_p, -harmless_u)
+    gp, gu = gp.astype(p.dtype), gu.astype(u.dtype)
+    return float(toxic), float(harmless), np.append(gp @ p + gu @ u, gp.sum() + gu.sum())
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float | None = None, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> ToxicityModel:
+    """Adam on the non-negative PU risk; ``prior`` None: estimated from the texts."""
     chosen = select_features(positive, unlabelled) if positive and unlabelled else []
-    if not chosen or not 0 < prior < 1:
+    if not chosen:
         return ToxicityModel()
     model = ToxicityModel(dict.fromkeys(chosen, 0.0))
     index = {f: i for i, f in enumerate(chosen)}
@@ -124,19 +164,11 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
         return out
 
     p, u = matrix(positive), matrix(unlabelled)
+    prior = estimated_prior(p, u) if prior is None else min(max(prior, 1e-4), 0.9)
     w, bias = np.zeros(len(chosen), np.float32), np.float32(np.log(prior / (1 - prior)))
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        zp, zu = p @ w + bias, u @ w + bias
-        sp, su = sigmoid(zp), sigmoid(zu)
-        harmless = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # derivatives of the mean losses by the margins
-        toxic_p = -prior * (1 - sp) / len(p)
-        harmless_u, harmless_p = su / len(u), -prior * sp / len(p)
-        gp, gu = (toxic_p + harmless_p, harmless_u) if harmless >= 0 else (-harmless_p, -harmless_u)
-        gp, gu = gp.astype(np.float32), gu.astype(np.float32)
-        gradient = np.append(gp @ p + gu @ u + decay * w, gp.sum() + gu.sum())
+        gradient = risk(p, u, w, bias, prior)[2] + np.append(decay * w, 0)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient * gradient
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -147,20 +179,25 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
-    """A model from the rows of ``labels`` and ``docs`` that the condition on ``id`` admits."""
-    spread = F.xxhash64(F.col("id").cast("string"), F.lit(11))
-    marked = labels.select(labels[id_column].alias("id"), labels[label_column].alias("toxic")).where(learnable).where("id is not null and toxic is not null").groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
-    shares = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).where(learnable).where(F.length("text").between(1, LONGEST))
-    positive = marked.where("toxic").orderBy(spread, "id").limit(POSITIVES).select(F.col("id").alias("chosen"))
-    unlabelled = texts.select("id").orderBy(spread, "id").limit(UNLABELLED).select(F.col("id").alias("chosen"))
-    found = {}
-    for name, ids in (("p", positive), ("u", unlabelled)):  # both id lists are bounded
-        rows = texts.join(F.broadcast(ids), F.col("id") == F.col("chosen"), "left_semi").collect()
-        found[name] = [r["text"] for r in sorted(rows, key=lambda r: (r["id"], r["text"]))]
-    total = sum(shares.values())
-    return train(found["p"], found["u"], shares.get(True, 0) / total if total else 0.0)
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", prior: float | None = None) -> ToxicityModel:
+    """A model from the rows of ``labels`` and ``docs`` that the condition on ``id`` admits; labels other than toxic ones aren't needed."""
+    marked = labels.select(labels[id_column].alias("id"), labels[label_column].alias("toxic")).where(learnable).where("id is not null and toxic > 0").select("id").distinct()
+    spread = F.xxhash64(F.coalesce(docs[id_column].cast("string"), F.lit("")), docs[text_column], F.lit(11))
+    texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), spread.alias("h")).where(learnable).where(F.length("text") > 0)
+    # rows are chosen by a hash of id and text, so that a repeated id brings no more rows than it has texts
+    positive = texts.join(marked, "id", "left_semi").select("h").distinct().orderBy("h").limit(POSITIVES).select(F.col("h").alias("chosen"), F.lit("p").alias("kind"))
+    unlabelled = texts.select("h").distinct().orderBy("h").limit(UNLABELLED).select(F.col("h").alias("chosen"), F.lit("u").alias("kind"))
+    picked = texts.join(F.broadcast(positive.union(unlabelled)), F.col("h") == F.col("chosen"))  # at most POSITIVES + UNLABELLED rows are broadcast
+    picked = picked.select("kind", "h", F.substring("text", 1, LONGEST).alias("text")).dropDuplicates(["kind", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        model = train([t for k, _, t in found if k == "p"], [t for k, _, t in found if k == "u"], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the bounded sample is fitted in one task, so that the driver holds only the model
+    fitted = picked.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else ToxicityModel()
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text", fold: int | None = None) -> DataFrame:
