@@ -235,6 +235,15 @@ def test_private_keys_are_told_by_their_bodies(spark):
     assert clean[21] == f"-----BEGIN RSA PRIVATE KEY-----{secrets.MASK}-----END RSA PRIVATE KEY----- and token={secrets.MASK}"
 
 
+def test_secrets_of_long_texts_and_clashing_names(spark):
+    text = " ".join(f"{i:016x}é" for i in range(3000)) + " password=abcdefghijklm"
+    df = spark.createDataFrame([(1, text, "s", "a", "b", "c")], "doc_id long, text string, source string, _own0 string, _OWN1 string, value_hash string")
+    row = secrets.scan_secrets(df).first()
+    assert (row["n_hex"], row["n_assign"]) == (3000, 1) and row["base_sha256"] == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns and clean.first()["text"].count(secrets.MASK) == 3001
+
+
 def test_secrets_of_null_ids_are_masked(spark):
     df = spark.createDataFrame([(None, "password=abcdefghijklm", "s"), (None, "nothing", None), (1, "token=abcdefghijklmnop", "s")], "doc_id long, text string, source string")
     assert sorted(r["text"] for r in secrets.redact(df).collect()) == ["nothing", f"password={secrets.MASK}", f"token={secrets.MASK}"]
@@ -290,6 +299,19 @@ def test_mix_repeats_rows(spark):
     assert out.columns == df.columns and counts == {i: n for i, n in taken.items() if n}
 
 
+def test_mix_repeats_rows_of_null_and_repeated_ids(spark):
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (i % 40 + 1)) + f" {i}", f"s{i % 3}", "x", "y", 1, 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _own0 string, _own1 string, _own2 int, mark int")
+    out = mixing.repeated(df)
+    assert out.columns == df.columns
+    sizes = {t: len(t.split()) for _, t, *_ in rows}
+    for source in ("s0", "s1", "s2"):
+        found = [r for r in out.where(F.col("source") == source).collect()]
+        aim = mixing.mix(df).where(F.col("source") == source).first()["target"]
+        assert abs(sum(sizes[r["text"]] for r in found) - aim) <= 41
+        assert {r["doc_id"] for r in found} == {7, None}
+
+
 def test_rounding_keeps_expectations(spark):
     """Over many seeds of ids, a document is taken about as often as its probability says."""
     df = spark.createDataFrame([(i, 1 + i % 3, "s", i // 30) for i in range(6000)], "doc_id long, size long, s0 string, g long")

@@ -264,6 +264,53 @@ def test_languages_on_tables(spark):
     assert nothing.names == [] and {r["lang_pred"] for r in languages.identify(df, nothing).collect()} == {"und"}
 
 
+def test_toxicity_risk_and_gradient():
+    rng = np.random.default_rng(3)
+    p, u = (rng.random((30, 7)) < 0.4).astype(float), (rng.random((50, 7)) < 0.3).astype(float)
+    loss = lambda margin, sign: np.log1p(np.exp(-sign * margin)).mean()
+
+    def brute(x, prior):
+        zp, zu = p @ x[:-1] + x[-1], u @ x[:-1] + x[-1]
+        return prior * loss(zp, 1), loss(zu, -1) - prior * loss(zp, -1)
+
+    signs = set()
+    for prior in (0.05, 0.3, 0.9):
+        for scale in (0.2, 3.0):
+            x = rng.normal(size=8) * scale
+            x[-1] -= 3 * (scale > 1)
+            toxic, harmless, gradient = toxicity.risk(p, u, x[:-1], x[-1], prior)
+            assert np.allclose((toxic, harmless), brute(x, prior))
+            signs.add(harmless >= 0)
+            target = (lambda y: sum(brute(y, prior))) if harmless >= 0 else (lambda y: -brute(y, prior)[1])  # noqa: B023
+            numeric = [(target(x + 1e-6 * e) - target(x - 1e-6 * e)) / 2e-6 for e in np.eye(8)]
+            assert np.allclose(gradient, numeric, atol=1e-5)
+    assert signs == {True, False}
+
+
+def test_toxicity_learns_from_toxic_labels_alone(spark):
+    rng = random.Random(8)
+    words, bad = [f"plain{i}" for i in range(300)], ["vorgh", "zluk", "drabb", "mork"]
+    rows = []
+    for i in range(1500):
+        text = rng.choices(words, k=30) + (rng.choices(bad, k=3) if i % 10 == 0 else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), 1.0, "x"))
+    df = spark.createDataFrame(rows + [(None, "vorgh", 1.0, "x"), (3, None, 1.0, "x"), (4, "plain " * 9000 + "mork zluk", 1.0, "x")] + [(9990, "same text", 1.0, "x")] * 50, "doc_id long, text string, score double, chosen string")
+    labels = spark.createDataFrame([(i, 1, 5) for i in range(0, 1500, 10) if i % 3] + [(None, 1, 5), (20, 0, 5)], "doc_id long, toxic int, h int")
+    model = toxicity.learn(df, labels, F.col("id") % 3 != 0)
+    assert model.weights == toxicity.learn(df.repartition(3), labels, F.col("id") % 3 != 0).weights
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, model).where("doc_id < 1500 and doc_id % 3 = 0").collect()}
+    assert all(scores[i] == int(i % 10 == 0) for i in scores if i not in (3, 4)) and len(scores) == 500
+    nothing = toxicity.learn(df.limit(0), labels, F.lit(True))
+    assert toxicity.score_toxicity(df.limit(3), nothing).agg(F.max("score")).first()[0] < 0.01 and toxicity.score_toxicity(df.limit(0), model).count() == 0
+
+
+def test_pieces_decode_broken_bytes():
+    coder, library = pieces.coder(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for ids in ([coder.byte_ids[0xFF]] * 5000, [coder.byte_ids[b] for b in (0xE2, 0x96, 0x41, 0xF0, 0x9F, 0x98, 0x80)] * 30):
+        assert coder.decode(ids) == library.decode(ids)
+
+
 def test_no_language_is_lost(spark, monkeypatch):
     monkeypatch.setattr(languages, "IN_ALL", 300)
     monkeypatch.setattr(languages, "LONGEST", 400)
