@@ -4,10 +4,10 @@ A page is a tree of tags and texts.  Its token stream is first folded on
 itself: neighbours of one kind, and squares of up to four kinds, become
 repeated groups.  Streams of one host are then aligned pairwise: equal tokens
 match, different texts at one place become a slot, different counts a repeated
-group, and what only one side has becomes optional.  The result has no unions,
-is again a stream, and aligning is done in any order, so wrappers of batches
-are joined by host over a tree of partial results (equal ones collapse on the
-way), however many pages a host has.
+group, and what only one side has becomes optional.  The result has no unions
+and is again a stream, so a host's pages are aligned over a tree, ``BRANCH`` at a
+time, however many there are.  A page's place in the tree hangs on its stream's
+hash alone: results don't hang on how the table is dealt out.
 
 What a wrapper holds as literal text where its pages have slots elsewhere in
 the article is the site's own ("Share this"), and goes.  Menus, headers,
@@ -17,8 +17,11 @@ go by element, role, class or id.  The article is the ``article`` element, else
 
 Defined cases: null html is an empty page; broken markup is closed as browsers
 do for the common cases; a null or strange url is a host of its own; hosts with
-fewer than ``LEAST`` different pages (copies count once) or without a slot keep their literals; extra columns
-are not read.
+fewer than ``LEAST`` different pages (copies count once) or without a slot keep
+their literals; so do blocks more than ``DEEP`` levels down; very long pages are
+read whole, in memory that grows with the page; each row of a repeated or null id
+is extracted by its own html; an empty table gives an empty result; extra columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import math
 import re
 import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ from maskwright.llm.common import ensure_checkpoint_dir, slices
 LEAST, LITERAL = 8, 120
 #: Items of one level from which on runs of optionals are merged, so that wrappers stay small; what every page has stays.
 LEVEL = 60
+#: Wrappers that meet at a time (a power of two), and levels of a page that wrappers look at.
+BRANCH, DEEP = 64, 150
 
 # Element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -265,9 +270,9 @@ def stream(node: Node, depth: int = 0) -> list:
             elif text:
                 items[-1] = ["#", "", None]
         elif not child.noise and child.tag in BLOCK:
-            items.append([child.kind, "", stream(child, depth + 1) if depth < 40 else []])
+            items.append([child.kind, "", stream(child, depth + 1) if depth < DEEP else []])
         elif not child.noise and child.tag not in VOID:
-            inner = stream(child, depth + 1) if depth < 40 else []
+            inner = stream(child, depth + 1) if depth < DEEP else []
             if inner and not (items and items[-1][0] == "#"):
                 items.append(["#", "", inner[0][2] if len(inner) == 1 and inner[0][0] == "#" else None])
             elif inner:
@@ -306,30 +311,67 @@ def _identity(root: Node) -> int:
     return int.from_bytes(digest.digest(), "big", signed=True)
 
 
-def fit_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, literals: JSON) of (host, html): hosts whose wrapper has literals that count."""
+def page_streams(pages: DataFrame) -> DataFrame:
+    """(host, mark, identity, wrapper) of (host, html): each page's stream, copies within a batch once; ``mark`` is the stream's hash."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            found: dict[str, tuple[list, set[int]]] = {}
+            found: dict[tuple[str, int], tuple[int, str]] = {}
             for host, page in set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 root = parse(page or "")
-                one = stream(root)
-                known = found.get(host)
-                found[host] = (align(known[0], one) if known else one, {*(known[1] if known else ()), _identity(root)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w, _ in found.values()], pa.string()), pa.array([sorted(x)[:LEAST] for _, x in found.values()], pa.list_(pa.int64()))], names=["host", "wrapper", "seen"])
-
-    def join(given: pd.DataFrame) -> pd.DataFrame:
-        wrapper: list | None = None
-        for text in sorted(given["wrapper"]):
-            wrapper = json.loads(text) if wrapper is None else align(wrapper, json.loads(text))
-        return pd.DataFrame({"host": [given["host"].iloc[0]], "wrapper": [json.dumps(wrapper, ensure_ascii=False)], "seen": [sorted({int(x) for own in given["seen"] for x in own})[:LEAST]]})
-
-    parts = pages.select("host", "html").mapInArrow(first, "host string, wrapper string, seen array<long>")
-    # the LEAST smallest identities tell whether a host has so many different pages, over all batches
-    for salt in (F.pmod(F.xxhash64("wrapper"), F.lit(64)), F.lit(0)):  # parts of a common host are joined apart first
-        parts = parts.groupBy("host", "wrapper").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, LEAST).alias("seen")).withColumn("salt", salt)
-        parts = parts.groupBy("host", "salt").applyInPandas(join, "host string, wrapper string, seen array<long>")
+                one = json.dumps(stream(root), ensure_ascii=True, separators=(",", ":"))
+                mark = int.from_bytes(hashlib.blake2b(one.encode(), digest_size=8).digest(), "big", signed=True)
+                identity = _identity(root)
+                found[host, mark] = min((identity, one), found.get((host, mark), (identity, one)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in found], pa.string()), pa.array([m for _, m in found], pa.int64()), pa.array([i for i, _ in found.values()], pa.int64()), pa.array([w for _, w in found.values()], pa.string())],
+                names=["host", "mark", "identity", "wrapper"],
+            )
+
+    return pages.select("host", "html").mapInArrow(run, "host string, mark long, identity long, wrapper string")
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper of each (host, bucket), from rows sorted by host, bucket and mark."""
+    key, last, wrapper, row = None, None, None, None
+
+    def settled() -> pa.RecordBatch:
+        host, mark, level = row
+        text = wrapper if isinstance(wrapper, str) else json.dumps(wrapper, ensure_ascii=True, separators=(",", ":"))
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([mark], pa.int64()), pa.array([level], pa.int32()), pa.array([text], pa.string())], names=["host", "mark", "level", "wrapper"])
+
+    for batch in batches:
+        for host, bucket, mark, level, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (host, bucket) != key:
+                if key is not None:
+                    yield settled()
+                key, last, wrapper, row = (host, bucket), text, text, (host, mark, level)  # a lone page stays as it is
+            elif text != last:
+                wrapper, last = align(json.loads(wrapper) if isinstance(wrapper, str) else wrapper, json.loads(text)), text
+    if key is not None:
+        yield settled()
+
+
+def fit_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, literals: JSON) of (host, html): hosts whose wrapper has literals that count."""
+    spark = pages.sparkSession
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams-{uuid.uuid4().hex}"
+    page_streams(pages).write.parquet(path)  # each page is parsed once
+    streams = spark.read.schema("host string, mark long, identity long, wrapper string").parquet(path)
+    # different pages over the whole table: copies count once, wherever they lie
+    each = streams.groupBy("host", "mark").agg(F.min("identity").alias("identity"))
+    sites = each.groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("identity").alias("pages")).where(F.col("pages") >= LEAST)
+    # levels of the tree that a host's pages need, so that about BRANCH of them meet at a time; which ones hangs on their contents alone
+    sites = sites.select(F.col("host").alias("site"), F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / BRANCH) / math.log(BRANCH))).cast("int").alias("level")).checkpoint()
+    rows = streams.join(sites, F.col("host") == F.col("site")).select("host", "mark", "level", "wrapper")
+    merged = None
+    for level in range(sites.agg(F.max("level")).first()[0] or 0, -1, -1):
+        here = rows.where(F.col("level") == level)
+        here = here if merged is None else here.union(merged)
+        bits = level * int(math.log2(BRANCH))
+        bucket = F.shiftrightunsigned("mark", 64 - bits) if bits else F.lit(0).cast("long")
+        dealt = here.select("host", bucket.alias("bucket"), "mark", "level", "wrapper").repartition("host", "bucket").sortWithinPartitions("host", "bucket", "mark")
+        merged = dealt.mapInArrow(_aligned, "host string, mark long, level int, wrapper string")
 
     def constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +382,7 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
                     rows.append((host, json.dumps(texts, ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "literals"])
 
-    return parts.where(F.size("seen") >= LEAST).select("host", "wrapper").mapInArrow(constants, "host string, literals string")
+    return merged.select("host", "wrapper").mapInArrow(constants, "host string, literals string")
 
 
 # ---------------------------------------------------------------- extraction
@@ -429,7 +471,7 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     given = pages.select(pages[id_column].alias("page_id"), pages[url_column].alias("url"), F.coalesce(pages[html_column], F.lit("")).alias("html"), host_of(pages[url_column]).alias("host"))
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/wrappers-{uuid.uuid4().hex}"
     fit_wrappers(given).write.parquet(path)
-    sites = spark.read.schema("host string, literals string").parquet(path).withColumnRenamed("host", "_host")
+    sites = spark.read.schema("host string, literals string").parquet(path).withColumnRenamed("host", "_host")  # all names here are this module's
     # few hosts have literals; Spark broadcasts them only below its size limit
     joined = given.join(sites, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "literals")
 
