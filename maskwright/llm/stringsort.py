@@ -1,7 +1,9 @@
 """Deep-shallow sorting of byte strings of one length, with their common prefixes.
 
-Shallow: multikey quicksort with eight bytes for a character, which numpy does
-for all groups of equal prefixes at once, down to a fixed depth.  Deep: strings
+Shallow: multikey quicksort with eight bytes for a character, down to a fixed
+depth: a group of strings equal so far is parted three ways by a pivot (the
+median of three of its characters at its depth), and what is equal to the pivot
+goes on one character deeper.  numpy parts all open groups at once.  Deep: strings
 that still agree there go into a blind trie, which stores only branching depths
 and characters; a string finds its place by one blind descent, one comparison
 with the leaf it meets, and a second descent to where they differ.
@@ -63,6 +65,32 @@ def blind_trie_order(strings: set[bytes]) -> list[bytes]:
     return out
 
 
+def multikey_quicksort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new) of rows by their first ``depth`` characters; ``new`` marks where a row differs from the one before."""
+    n = len(words)
+    order, at, new = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+    new[:1] = True
+    open_ = np.ones(n, bool) if n > 1 else np.zeros(n, bool)
+    while open_.any():
+        spots = np.flatnonzero(open_)
+        starts = np.flatnonzero(new[spots])  # open groups lie whole among the spots
+        sizes = np.diff(np.append(starts, len(spots)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        value = words[order[spots], at[spots]]
+        ends = np.stack([value[starts], value[starts + sizes // 2], value[starts + sizes - 1]])
+        pivot = np.sort(ends, 0)[1][group]
+        side = np.where(value < pivot, 0, np.where(value == pivot, 1, 2))
+        inner = np.argsort(3 * group + side, kind="stable")
+        order[spots], side = order[spots[inner]], side[inner]
+        at[spots] += side == 1
+        new[spots[1:]] |= side[1:] != side[:-1]
+        begin = np.flatnonzero(new)
+        alone = np.diff(np.append(begin, n)) == 1
+        open_ &= at < depth
+        open_[begin[alone]] = False
+    return order, new
+
+
 def deep_shallow_sort(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the rows of a matrix of bytes; lcp[i]: bytes that the i-th in order shares with the one before (lcp[0] is 0)."""
     n, size = rows.shape
@@ -73,20 +101,9 @@ def deep_shallow_sort(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndar
     padded[:, :size] = rows
     words = padded.view(">u8").astype(np.uint64)
     depth = min(max(shallow // 8, 1), words.shape[1])
-    order = np.argsort(words[:, 0], kind="stable")
-    groups = np.cumsum(np.concatenate([[0], words[order[1:], 0] != words[order[:-1], 0]]))
-    for k in range(1, depth):  # the next character, within the groups that the ones before left equal
-        tied = np.bincount(groups)[groups] > 1
-        if not tied.any():
-            break
-        spots = np.flatnonzero(tied)
-        inner = np.lexsort((words[order[spots], k], groups[spots]))
-        order[spots] = order[spots[inner]]
-        new = np.zeros(n, bool)
-        new[1:] = (groups[1:] != groups[:-1]) | (words[order[1:], k] != words[order[:-1], k])
-        groups = np.cumsum(new)
+    order, new = multikey_quicksort(words, depth)
     if 8 * depth < size:
-        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        starts = np.flatnonzero(new)
         stops = np.append(starts[1:], n)
         for start, stop in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist(), strict=True):
             own = order[start:stop]
