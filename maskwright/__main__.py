@@ -18,9 +18,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="maskwright", description="Find and treat re-identification risk in a table.")
     p.add_argument("table", help="a CSV (.csv, .csv.gz) or Parquet table")
     p.add_argument("-o", "--output", default=None, help="folder for results")
-    p.add_argument("-n", "--ncol", type=int, default=12, help="number of columns")
+    p.add_argument("-n", "--ncol", type=int, default=0, help="number of columns (0: all)")
     p.add_argument("--exact", default="no", **yes_no, help="count every column set")
-    p.add_argument("--strategy", default=None, choices=("exact", "minimal", "heuristic", "sampled", "clustered"))
+    p.add_argument("--strategy", default=None, choices=("exact", "minimal", "heuristic", "sampled", "drawn", "clustered"))
     p.add_argument("--treat", default="yes", **yes_no)
     p.add_argument("--evaltreat", default="yes", **yes_no, help="search the result again")
     p.add_argument("--treatment", default="no", choices=("no", *TREATMENTS), help="force one treatment")
@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--score", default="no", **yes_no)
     p.add_argument("--size", default="no", **yes_no)
     p.add_argument("--cache", default="yes", **yes_no, help="keep searches below the output folder")
-    p.add_argument("--max-rows", type=int, default=1_000_000)
+    p.add_argument("--max-rows", type=int, default=0, help="number of rows (0: all)")
     return p
 
 
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> dict[str, float]:
     df = df.limit(a.max_rows) if a.max_rows else df
     cache = f"{a.output}/cache" if a.output and a.cache == "yes" else None
     outcome = AnonymizationPipeline(spark, settings, cache).run(df, treat=a.treat == "yes", score=a.score == "yes", size=a.size == "yes", evaluate=a.evaltreat == "yes")
-    print({"dropped": outcome.dropped, "compartments": outcome.compartments, "left": {k: v for k, v in outcome.left.items() if v}} | outcome.metrics)
+    print({"dropped": outcome.dropped, "cut": outcome.cut, "compartments": outcome.compartments, "left": {k: v for k, v in outcome.left.items() if v}} | outcome.metrics)
     if a.output:
         sinks.write_compartments(outcome.table, outcome.compartments, f"{a.output}/tables")
         sinks.append_metrics(spark, f"{a.output}/metrics", uuid.uuid4().hex, outcome.metrics, a.ncol, settings.treatment)

@@ -17,9 +17,9 @@ TREATMENTS = ("suppression", "generalization", "perturbation", "compartmentation
 class Settings:
     """Thresholds are strict unless said otherwise."""
 
-    max_rows: int = 1_000_000  # 0: all
-    max_columns: int = 12
-    strategy: str = "minimal"  # exact, minimal, heuristic, sampled, clustered
+    max_rows: int = 0  # 0: all
+    max_columns: int = 0  # 0: all
+    strategy: str = "minimal"  # exact, minimal, heuristic, sampled, drawn, clustered
     max_length: int | None = None  # longest column set searched; None: all
     #: Share of rows with a unique value above which a column is dropped.
     identifier_coverage: float = 80.0

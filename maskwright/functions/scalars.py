@@ -73,6 +73,12 @@ def is_null_literal(value: Column) -> Column:
     return value.isNull() | F.coalesce(F.isnan(value.try_cast("double")), F.lit(False))
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names for helper columns that the table lacks (Spark doesn't tell upper from lower case)."""
+    there = {c.lower() for c in df.columns}
+    return [f"_own{i}" for i in range(n + len(there)) if f"_own{i}" not in there][:n]
+
+
 def fanned_out(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
     """The fields of each struct of ``entries``, a row per entry and row of ``df``; NULL entries give none.
 

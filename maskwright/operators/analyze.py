@@ -42,10 +42,18 @@ def allowed_columns(qis: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def column_statistics(qis: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(colname, occurrence, mean_length, n_allowed): per column that occurs."""
+    """(colname, occurrence, mean_length, n_allowed, allowed_sets, mean_allowed_length): per column that occurs.
+
+    ``n_allowed``: columns of its own allowed set; ``allowed_sets``: different
+    allowed sets, of any column that occurs, that hold it, and their mean length.
+    """
     rows = qis.select(F.explode("columns").alias("colname"), "len")
     stats = rows.groupBy("colname").agg(F.count("*").alias("occurrence"), F.avg("len").alias("mean_length"))
-    return stats.join(allowed_columns(qis, names).select("colname", F.size("allowed").alias("n_allowed")), "colname", "left").withColumn("n_allowed", F.coalesce("n_allowed", F.lit(0)))
+    allowed = allowed_columns(qis, names).join(stats.select("colname"), "colname")
+    sets = allowed.select("allowed").distinct().select(F.explode("allowed").alias("colname"), F.size("allowed").alias("n"))
+    sets = sets.groupBy("colname").agg(F.count("*").alias("allowed_sets"), F.avg("n").alias("mean_allowed_length"))
+    stats = stats.join(allowed.select("colname", F.size("allowed").alias("n_allowed")), "colname", "left").join(sets, "colname", "left")
+    return stats.withColumns({"n_allowed": F.coalesce("n_allowed", F.lit(0)), "allowed_sets": F.coalesce("allowed_sets", F.lit(0).cast("long"))})
 
 
 def found_by_length(qis: DataFrame, lengths: Sequence[int] | None = None) -> DataFrame:

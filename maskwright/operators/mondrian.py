@@ -56,12 +56,27 @@ def widest(widths: Mapping[str, Column]) -> Column:
 
 
 def penalties(df: DataFrame, part: str, qi: Sequence[str], taxonomies: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """(ncp, dp): normalised certainty penalty in per cent, of numeric columns by their ranges, and discernibility."""
+    """(ncp, dp): normalised certainty penalty in per cent, and discernibility.
+
+    A number's width is its range, a category's the leaves below the lowest node
+    over all values of the partition (0 for a leaf; everything, for a value that
+    the taxonomy lacks); both by that of the whole table.
+    """
     taxonomies = taxonomies or {}
     numeric = [c for c in qi if c not in taxonomies]
     whole = df.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first()
-    each = df.groupBy(part).agg(F.count("*").alias("size"), *[(F.max(c) - F.min(c)).cast("double").alias(f"w_{c}") for c in numeric])
+    for c, taxonomy in taxonomies.items():
+        df = with_taxonomy(df, c, taxonomy)
+    # what the least and the greatest path share, all paths of the partition share
+    paths = [x for c in taxonomies for x in (F.min(F.struct(f"_path_{c}", f"_cover_{c}")).alias(f"l_{c}"), F.max(f"_path_{c}").alias(f"h_{c}"), F.bool_or(F.col(f"_path_{c}").isNull()).alias(f"n_{c}"))]
+    each = df.groupBy(part).agg(F.count("*").alias("size"), *[(F.max(c) - F.min(c)).cast("double").alias(f"w_{c}") for c in numeric], *paths)
     width = F.lit(0.0)
+    for c in taxonomies:
+        same = F.zip_with(F.col(f"l_{c}._path_{c}"), F.col(f"h_{c}"), lambda a, b: a.eqNullSafe(b))
+        parting = F.array_position(same, F.lit(False))
+        depth = F.when(parting == 0, F.size(same)).otherwise(parting - 1).cast("int")
+        cover = F.get(F.col(f"l_{c}._cover_{c}"), depth - 1)
+        width = width + F.when(F.col(f"n_{c}"), 1.0).when(cover > 1, cover / F.get(F.col(f"l_{c}._cover_{c}"), F.lit(0))).otherwise(0.0)
     for c in numeric:
         if whole[c]:
             width = width + F.coalesce(F.col(f"w_{c}") / whole[c], F.lit(0.0))
@@ -114,15 +129,20 @@ def mondrian(df: DataFrame, sensitive: str, l: int, qi: Sequence[str] | None = N
         if not large.limit(1).count():
             break
         rows = _round(rows.where("_open").join(large.select("part_id"), "part_id", "left_semi").select(*rows.columns), qi, taxonomies, ranges, sensitive, l, everything)
-    for c in qi:
-        over = Window.partitionBy("part_id")
+    out.write.parquet(f"{base}/out")  # the rounds' rows, put together once
+    out = spark.read.schema(out.schema).parquet(f"{base}/out")
+    # a row per partition; Spark broadcasts them below its size limit, and splits a large partition's join
+    ends = [x for i, c in enumerate(qi) if c not in taxonomies for x in (F.min(c).cast("string").alias(f"_low{i}"), F.max(c).cast("string").alias(f"_high{i}"))]
+    bounds = out.groupBy("part_id").agg(F.count("*").alias("_n"), *ends).withColumnRenamed("part_id", "_part")
+    out = out.join(bounds, out["part_id"] == bounds["_part"])
+    values = []
+    for i, c in enumerate(qi):
         if c in taxonomies:
             value = F.get(F.col(f"_path_{c}"), F.col(f"_depth_{c}"))
         else:
-            low, high = F.min(c).over(over), F.max(c).over(over)
-            value = F.when(low == high, low.cast("string")).otherwise(F.concat_ws(",", low.cast("string"), high.cast("string")))
-        out = out.withColumn(f"{c}_generalized", value)
-    return out.select(*own, "part_id", *[f"{c}_generalized" for c in qi])
+            value = F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(F.concat_ws(",", f"_low{i}", f"_high{i}"))
+        values.append(value.alias(f"{c}_generalized"))
+    return out.select(*own, "part_id", *values)
 
 
 def _finisher(qi: Sequence[str], categories: Sequence[str], ranges: Mapping[str, float], sensitive: str, l: int, everything: int):  # noqa: E741

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskwright.config import Settings
 from maskwright.functions.scalars import entropy, fanned_out
@@ -74,13 +75,25 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[c for i, c in enumerate(df.columns) if not counts[i]])
 
 
-def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.drop(*columns)
+def without_identifiers(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Without the columns that identify rows by themselves."""
+    return df.drop(*[r["colname"] for r in first_class_identifiers(profile(df), settings).collect()])  # a row per column
+
+
+def ranked(profiled: DataFrame, by: str = "cardinality") -> DataFrame:
+    """(place, colname, value): columns by cardinality or entropy, the greatest first, then by position; those without a value last."""
+    order = Window.orderBy(F.col(by).desc_nulls_last(), "position")  # a row per column
+    return profiled.select((F.row_number().over(order) - 1).alias("place"), "colname", F.col(by).alias("value"))
+
+
+def highest_cardinality(profiled: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(colname): the member of a column set with the greatest cardinality, the first by position of equals."""
+    return ranked(profiled.where(F.col("colname").isin(list(columns)))).where("place = 0").select("colname")
 
 
 def prefix(df: DataFrame, n: int) -> DataFrame:
-    """The first n columns (all, if there are fewer)."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns[:n]])
+    """The first n columns (all, if there are fewer, or if n is 0)."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns[: n or None]])
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

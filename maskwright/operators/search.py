@@ -52,6 +52,25 @@ def _evaluate(df: DataFrame, names: Sequence[str], masks: Sequence[int], setting
     return out
 
 
+def _empty_sets(df: DataFrame, names: Sequence[str], n_rows: int, settings: Settings) -> tuple[list[int], int]:
+    """Large column sets without a unique row, and how many were counted: without NULLs no set within them has one either.
+
+    Tried are the whole table, and the columns with the fewest values, about as
+    many as have no more combinations than there are rows.
+    """
+    if len(names) < 3 or not n_rows:
+        return [], 0
+    kinds = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(names)]).first()
+    order = sorted(range(len(names)), key=lambda i: (kinds[i], i))
+    product, fits = 1, 0
+    for i in order:
+        product *= max(1, kinds[i])
+        fits += product <= n_rows
+    tried = sorted({lattice.mask_of(order[:k]) for k in (len(names), fits - 1, fits, fits + 1) if 3 <= k <= len(names)})
+    counts = _evaluate(df, names, tried, settings)
+    return [m for m in tried if not counts.get(m, 0)], len(tried)
+
+
 def _has_nulls(df: DataFrame) -> bool:
     any_null = F.lit(False)
     for c in df.columns:
@@ -66,11 +85,12 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
     inside (without NULLs a superset always has a unique row, so it isn't
     counted; with NULLs that doesn't hold, and supersets are counted and
     reported only if no found set lies inside).  ``heuristic``: sets that pass
-    the weight filter.  ``sampled`` and ``clustered``: minimal within groups of
-    columns.
+    the weight filter.  ``sampled``, ``drawn`` and ``clustered``: minimal within
+    groups of columns (overlapping chunks and random samples, random samples
+    alone, clusters).
     """
     names = list(df.columns)
-    if settings.strategy in ("sampled", "clustered"):
+    if settings.strategy in ("sampled", "drawn", "clustered"):
         return _grouped(df, settings)
     df = df.cache()  # every level scans it
     try:
@@ -83,6 +103,9 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
             weights = [known[n] for n in names]
         crm = lattice.mask_of(i for i, n in enumerate(names) if n in settings.crm_columns) if settings.crm_columns is not None else None
         prune = settings.strategy == "minimal" and not settings.min_coverage_pct and not _has_nulls(df)
+        empty, result.evaluated = _empty_sets(df, names, result.n_rows, settings) if prune else ([], 0)
+        if lattice.mask_of(range(len(names))) in empty:
+            return result
         open_sets: list[int] = list(lattice.sets_of(len(names), 1))
         for length in range(2, longest + 1):
             if prune:
@@ -97,10 +120,11 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
                 if prune or settings.stop_on_empty_level:
                     break
                 continue
-            counts = _evaluate(df, names, candidates, settings)
-            hits = {m: counts[m] for m in candidates if enough(counts.get(m, 0))}
+            counted = [m for m in candidates if not any(m & e == m for e in empty)]
+            counts = _evaluate(df, names, counted, settings)
+            hits = {m: counts[m] for m in counted if enough(counts.get(m, 0))}
             result.found |= hits
-            result.evaluated += len(candidates)
+            result.evaluated += len(counted)
             result.levels += 1
             result.per_level.append(len(hits))
             open_sets = [m for m in candidates if m not in hits]
@@ -116,6 +140,8 @@ def _grouped(df: DataFrame, settings: Settings) -> SearchResult:
     names = list(df.columns)
     if settings.strategy == "sampled":
         plan = lattice.chunked_plan(names, settings.seed)
+    elif settings.strategy == "drawn":
+        plan = lattice.sampling_plan(names, settings.seed)
     else:
         plan = lattice.clustered_plan(cluster_columns(profile(df), settings.seed))
     result = SearchResult(names, 0, uncovered=lattice.uncovered(names, plan))

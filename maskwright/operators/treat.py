@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskwright.config import Settings
-from maskwright.functions.scalars import digits_value, is_digits, numeric, range_label
+from maskwright.functions.scalars import digits_value, is_digits, numeric, range_label, unused
 from maskwright.operators.uniqueness import representatives
 
 
+#: Parts in which the numbers of a column are sorted, at most.
+PARTS = 200
+
+
 def remap(df: DataFrame, column: str, mapping: DataFrame, where: Column | None = None) -> DataFrame:
     """``column`` by a table (key, new): values without a key stay, keys may lead to NULL.
 
@@ -26,12 +30,13 @@ def remap(df: DataFrame, column: str, mapping: DataFrame, where: Column | None =
     """
     names = df.columns
     to = mapping.schema["new"].dataType.simpleString()
-    keyed = mapping.select(F.col("key").alias("_key"), F.col("new").alias("_new"), F.lit(True).alias("_hit"))
-    joined = df.join(keyed, df[f"`{column}`"] == keyed["_key"], "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    key, value, marked = unused(df, 3)
+    keyed = mapping.select(F.col("key").alias(key), F.col("new").alias(value), F.lit(True).alias(marked))
+    joined = df.join(keyed, df[f"`{column}`"] == keyed[key], "left")
+    hit = F.coalesce(F.col(marked), F.lit(False))
     if where is not None:
         hit = hit & where
-    new = F.when(hit, F.col("_new")).otherwise(F.col(f"`{column}`").cast(to))
+    new = F.when(hit, F.col(value)).otherwise(F.col(f"`{column}`").cast(to))
     return joined.select(*[new.alias(c) if c == column else F.col(f"`{c}`") for c in names])
 
 
@@ -63,8 +68,9 @@ def _by_row(df: DataFrame, columns: Sequence[str], column: str, new: Column) ->
         full = full & F.col(f"`{c}`").isNotNull()
     n = F.count("*").over(Window.partitionBy(*[F.col(f"`{c}`") for c in columns]))
     to = df.schema[column].dataType
-    marked = df.withColumn("_unique", full & (n == 1))
-    return marked.withColumn(column, F.when(F.col("_unique"), new).otherwise(F.col(f"`{column}`")).cast(to)).drop("_unique")
+    (unique,) = unused(df, 1)
+    marked = df.withColumn(unique, full & (n == 1))
+    return marked.withColumn(column, F.when(F.col(unique), new).otherwise(F.col(f"`{column}`")).cast(to)).drop(unique)
 
 
 # ---------------------------------------------------------------- nearest values
@@ -73,11 +79,14 @@ def _by_row(df: DataFrame, columns: Sequence[str], column: str, new: Column) ->
 def neighbours(df: DataFrame, column: str) -> DataFrame:
     """(value, lower, upper): the next smaller and greater number of the column, itself at the ends.
 
-    Distinct numbers are dealt out by range and sorted within; only the two
-    ends of each range are looked up across ranges.
+    Distinct numbers are parted by bounds near their quantiles and sorted
+    within; only the two ends of each part are looked up across parts.
     """
     values = df.select(numeric(F.col(f"`{column}`")).alias("value")).where("value is not null").distinct()
-    ranged = values.repartitionByRange("value").withColumn("part", F.spark_partition_id()).cache()
+    parts = min(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = values.approxQuantile("value", [i / parts for i in range(1, parts)], 1 / (2 * parts)) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b < F.col("value")))
+    ranged = values.withColumn("part", part)
     inner = Window.partitionBy("part").orderBy("value")
     near = ranged.withColumn("lower", F.lag("value").over(inner)).withColumn("upper", F.lead("value").over(inner))
     ends = ranged.groupBy("part").agg(F.min("value").alias("first"), F.max("value").alias("last"))

@@ -30,6 +30,8 @@ class Outcome:
     compartments: list[list[str]] = field(default_factory=list)
     metrics: dict[str, float] = field(default_factory=dict)
     left: dict[tuple[str, ...], list[tuple[str, ...]]] = field(default_factory=dict)
+    #: Columns beyond ``max_columns``, if that is set.
+    cut: list[str] = field(default_factory=list)
 
     def tables(self) -> list[DataFrame]:
         return parts_of.split(self.table, self.compartments)
@@ -88,7 +90,7 @@ class AnonymizationPipeline:
     def run(self, df: DataFrame, treat: bool = True, score: bool = False, size: bool = False, evaluate: bool = False) -> Outcome:
         began = time.time()
         ready, dropped, entropies = self.prepare(df)
-        outcome = Outcome(ready, dropped, None, compartments=[list(ready.columns)] if ready.columns else [])
+        outcome = Outcome(ready, dropped, None, compartments=[list(ready.columns)] if ready.columns else [], cut=df.columns[self.settings.max_columns :] if self.settings.max_columns else [])
         if len(ready.columns) >= 2:
             outcome.search = self.find(ready, entropies)
             outcome.metrics |= {"search_seconds": time.time() - began, "quasi_identifiers": len(outcome.search.found), "evaluated": outcome.search.evaluated, "saved_pct": saved_pct(outcome.search.evaluated, outcome.search.total)}

@@ -105,6 +105,10 @@ class JobStore:
         self._write(job)
         return job
 
+    def fail(self, job_id: str, cause: str) -> None:
+        if self._exists(job_id):
+            self._write(self.get(job_id).asDict() | {"status": "failed", "cause": cause})
+
     def delete(self, job_id: str) -> None:
         if not self._exists(job_id):
             raise UnknownJob(job_id)
@@ -121,7 +125,7 @@ def run_job(spark: SparkSession, job: Row, load: Callable[[], DataFrame], settin
 
 
 def work(store: JobStore, handle: Callable[[Row], None], checkpoint: str, every: str | None = None):
-    """A streaming query that hands over each job that comes in and then deletes it.
+    """A streaming query that hands over each job that comes in and then deletes it; one that fails is kept as failed.
 
     ``every``: trigger interval such as ``30 seconds``; None: what is there
     now, then stop.
@@ -130,8 +134,12 @@ def work(store: JobStore, handle: Callable[[Row], None], checkpoint: str, every:
     def batch(jobs: DataFrame, _: int) -> None:
         rows = jobs.where("status = 'waiting'").orderBy(F.size("columns"), "job_id").collect()  # jobs of one batch
         for job in rows:
-            handle(job)
-            store.delete(job["job_id"])
+            try:
+                handle(job)
+            except Exception as e:  # the job is at fault, not those behind it: it stays, with its cause
+                store.fail(job["job_id"], f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+            else:
+                store.delete(job["job_id"])
 
     stream = store.spark.readStream.schema(JOB).option("recursiveFileLookup", True).json(store.folder)
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
