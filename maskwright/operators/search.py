@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +90,16 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
     alone, clusters).
     """
     names = list(df.columns)
+    groups, uncovered = None, []
     if settings.strategy in ("sampled", "drawn", "clustered"):
-        return _grouped(df, settings)
+        plan = _groups(df, settings)
+        uncovered = lattice.uncovered(names, plan)
+        groups = [lattice.mask_of(map(names.index, group)) for group in plan]
+        settings = replace(settings, strategy="minimal")
+    held = lambda m: groups is None or any(m & g == m for g in groups)  # noqa: E731  a set of several groups is counted once
     df = df.cache()  # every level scans it
     try:
-        result = SearchResult(names, df.count())
+        result = SearchResult(names, df.count(), uncovered=uncovered)
         enough = lambda n: n > 0 and (not settings.min_coverage_pct or 100.0 * n / result.n_rows > settings.min_coverage_pct)
         longest = min(settings.max_length or len(names), len(names))
         weights = None
@@ -109,9 +114,9 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
         open_sets: list[int] = list(lattice.sets_of(len(names), 1))
         for length in range(2, longest + 1):
             if prune:
-                candidates = lattice.next_level(open_sets, len(names))
+                candidates = [m for m in lattice.next_level(open_sets, len(names)) if held(m)]
             else:
-                candidates = list(lattice.sets_of(len(names), length))
+                candidates = [m for m in lattice.sets_of(len(names), length) if held(m)]
                 if settings.strategy == "minimal":
                     candidates = [m for m in candidates if not lattice.is_covered(m, result.found)]
                 elif settings.strategy == "heuristic":
@@ -133,27 +138,14 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
         df.unpersist()
 
 
-def _grouped(df: DataFrame, settings: Settings) -> SearchResult:
-    """Minimal sets within groups of columns; what no group holds together is missed."""
-    from dataclasses import replace
-
+def _groups(df: DataFrame, settings: Settings) -> list[list[str]]:
+    """Which columns an approximate search takes together; what no group holds together is missed."""
     names = list(df.columns)
     if settings.strategy == "sampled":
-        plan = lattice.chunked_plan(names, settings.seed)
-    elif settings.strategy == "drawn":
-        plan = lattice.sampling_plan(names, settings.seed)
-    else:
-        plan = lattice.clustered_plan(cluster_columns(profile(df), settings.seed))
-    result = SearchResult(names, 0, uncovered=lattice.uncovered(names, plan))
-    spot = {n: i for i, n in enumerate(names)}
-    for group in plan:
-        part = search(df.select(*[F.col(f"`{c}`") for c in group]), replace(settings, strategy="minimal"))
-        result.n_rows, result.evaluated, result.levels = part.n_rows, result.evaluated + part.evaluated, max(result.levels, part.levels)
-        result.found |= {lattice.mask_of(spot[c] for c in lattice.names_of(m, part.names)): u for m, u in part.found.items()}
-    for m in result.masks:  # of other groups' sets too
-        if any(k != m and k & m == k for k in result.found):
-            del result.found[m]
-    return result
+        return lattice.chunked_plan(names, settings.seed)
+    if settings.strategy == "drawn":
+        return lattice.sampling_plan(names, settings.seed)
+    return lattice.clustered_plan(cluster_columns(profile(df), settings.seed))
 
 
 def verify(df: DataFrame, compartments: Sequence[Sequence[str]], settings: Settings = Settings(), search_with: Callable[..., SearchResult] = search) -> dict[tuple[str, ...], list[tuple[str, ...]]]:

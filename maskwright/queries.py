@@ -77,11 +77,12 @@ def _minimal_sql(source: str, columns: Sequence[str], longest: int) -> str:
     SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS k WHERE k.len < c.len AND list_has_all(c.columns, k.columns))"""
 
 
-_PART_QIS = _minimal_sql("part", PART, 3)
+_PART_QIS = _minimal_sql("part", PART, len(PART))
+_LINEITEM_QIS = _minimal_sql("lineitem", LINEITEM, len(LINEITEM))
 
 
-def _minimal(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str], longest: int | None = None) -> DataFrame:
-    return search(table(spark, sf_dir, name, columns), Settings(max_length=longest)).table(spark)
+def _minimal(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -> DataFrame:
+    return search(table(spark, sf_dir, name, columns), Settings()).table(spark)
 
 
 # ---------------------------------------------------------------- profiles
@@ -164,22 +165,17 @@ def qi_level2_lineitem(spark, sf_dir):
 
 @query(_PART_QIS)
 def qi_minimal_part(spark, sf_dir):
-    return _minimal(spark, sf_dir, "part", PART, 3)
+    return _minimal(spark, sf_dir, "part", PART)
 
 
-@query(_minimal_sql("lineitem", LINEITEM, 3))
+@query(_LINEITEM_QIS)
 def qi_minimal_lineitem(spark, sf_dir):
-    return _minimal(spark, sf_dir, "lineitem", LINEITEM, 3)
-
-
-@query()  # every length: tests hold it against brute force
-def qi_all_minimal_lineitem(spark, sf_dir):
     return _minimal(spark, sf_dir, "lineitem", LINEITEM)
 
 
 @query(_minimal_sql("orders", ORDERS, 4))
 def qi_minimal_orders(spark, sf_dir):
-    return _minimal(spark, sf_dir, "orders", ORDERS, 4)
+    return _minimal(spark, sf_dir, "orders", ORDERS)
 
 
 @query(_coverage_sql("part", [s for n in (2, 3, 4, 5) for s in combinations(PART, n)], "unique_rows > 0"))
@@ -220,9 +216,40 @@ def qi_heuristic_part(spark, sf_dir):
     return search(table(spark, sf_dir, "part", PART), Settings(strategy="heuristic", max_length=2)).table(spark)
 
 
-@query(_minimal_sql("lineitem", LINEITEM[:6], 2))
-def qi_sampled_lineitem(spark, sf_dir):
-    return search(table(spark, sf_dir, "lineitem", LINEITEM[:6]), Settings(strategy="sampled", max_length=2)).table(spark)
+@query(f"""WITH e AS (SELECT colname, entropy FROM ({_profile_sql('lineitem', LINEITEM)})), c AS MATERIALIZED ({_coverage_sql('lineitem', [s for n in range(2, len(LINEITEM) + 1) for s in combinations(LINEITEM, n)], 'unique_rows > 0')}),
+w AS (SELECT columns, ceil(round(sum(entropy), 9)) AS weight, ceil(round(avg(entropy), 9)) AS mean FROM (SELECT columns, unnest(columns) AS colname FROM c) JOIN e USING (colname) GROUP BY 1),
+p AS (SELECT c.* FROM c JOIN w USING (columns) WHERE list_has_any(columns, ['l_suppkey', 'l_shipdate', 'l_returnflag']) AND weight >= 7 AND mean >= 5 AND NOT (mean < 7 AND len > 4))
+SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS k WHERE k.len < p.len AND list_has_all(p.columns, k.columns))""")
+def qi_heuristic_lineitem(spark, sf_dir):
+    settings = Settings(strategy="heuristic", crm_columns=("l_suppkey", "l_shipdate", "l_returnflag"), stop_on_empty_level=False)
+    return search(table(spark, sf_dir, "lineitem", LINEITEM), settings).table(spark)
+
+
+#: A table of 24 columns, so that sampled searches take more than one group.
+_WIDE = [*LINEITEM, "l_extendedprice", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "c_nationkey", "c_acctbal", "c_mktsegment", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_WIDE_SQL = f"wide AS MATERIALIZED (SELECT {', '.join(_WIDE)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"
+
+
+def _wide(spark, sf_dir):
+    lines, orders, customers, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(*_WIDE)
+
+
+def _planned_sql(plan: Sequence[Sequence[str]]) -> str:
+    """The pairs that some group of the plan holds."""
+    pairs = [p for p in combinations(_WIDE, 2) if any(set(p) <= set(group) for group in plan)]
+    return f"WITH {_WIDE_SQL} SELECT * FROM ({_coverage_sql('wide', pairs, 'unique_rows > 0')})"
+
+
+@query(_planned_sql(lattice.chunked_plan(_WIDE, Settings().seed)))
+def qi_sampled_wide(spark, sf_dir):
+    return search(_wide(spark, sf_dir), Settings(strategy="sampled", max_length=2)).table(spark)
+
+
+@query(_planned_sql(lattice.sampling_plan(_WIDE, Settings().seed)))
+def qi_drawn_wide(spark, sf_dir):
+    return search(_wide(spark, sf_dir), Settings(strategy="drawn", max_length=2)).table(spark)
 
 
 # ---------------------------------------------------------------- treatments
@@ -302,13 +329,16 @@ def numeric_text(spark, sf_dir):
 # ---------------------------------------------------------------- compartments
 
 
-@query(f"""WITH q AS ({_PART_QIS}), c AS (SELECT unnest({PART!r}) AS a, generate_subscripts({PART!r}, 1) AS i),
+_COMPARTMENTS = f"""WITH q AS ({_PART_QIS}), c AS (SELECT unnest({PART!r}) AS a, generate_subscripts({PART!r}, 1) AS i),
 x AS (SELECT DISTINCT l.a AS a, r.a AS b FROM q, c l, c r WHERE l.a <> r.a AND list_contains(columns, l.a) AND list_contains(columns, r.a)),
 s AS (SELECT m, (SELECT list(a ORDER BY i) FROM c WHERE (m >> (i - 1)) & 1 = 1) AS columns FROM range(1, {2 ** len(PART)}) t(m)),
 f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM x WHERE list_contains(columns, a) AND list_contains(columns, b)))
-SELECT columns FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.m <> f.m AND g.m & f.m = f.m)""")
+SELECT columns FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.m <> f.m AND g.m & f.m = f.m)"""
+
+
+@query(_COMPARTMENTS)
 def compartments_part(spark, sf_dir):
-    found = [tuple(r["columns"]) for r in _minimal(spark, sf_dir, "part", PART, 3).collect()]
+    found = [tuple(r["columns"]) for r in _minimal(spark, sf_dir, "part", PART).collect()]
     return compartments.compartment_table(spark, compartments.compartments(PART, found)).select("columns")
 
 
@@ -322,11 +352,11 @@ def compartment_union(spark, sf_dir):
 
 @query(f"WITH q AS ({_PART_QIS}), c AS (SELECT unnest({PART!r}) AS a) SELECT DISTINCT l.a AS src, r.a AS dst FROM q, c l, c r WHERE l.a <> r.a AND list_contains(columns, l.a) AND list_contains(columns, r.a)")
 def conflict_edges(spark, sf_dir):
-    found = [tuple(r["columns"]) for r in _minimal(spark, sf_dir, "part", PART, 3).collect()]
+    found = [tuple(r["columns"]) for r in _minimal(spark, sf_dir, "part", PART).collect()]
     return compartments.edges(spark, compartments.conflict_graph(found))
 
 
-@query("SELECT unnest(['p_brand,p_type', 'p_name', 'p_retailprice', 'p_size']) AS compartment, 0::INT AS n_left")
+@query(f"SELECT array_to_string(columns, ',') AS compartment, 0::INT AS n_left FROM ({_COMPARTMENTS})")
 def compartments_verified(spark, sf_dir):
     df = table(spark, sf_dir, "part", PART)
     outcome = AnonymizationPipeline(spark, Settings(treatment="compartmentation")).run(df, evaluate=True)
@@ -345,7 +375,7 @@ def csv_round_trip(spark, sf_dir):
 @query(f"SELECT columns, len, unique_rows, coverage_pct FROM ({_PART_QIS})")
 def saved_search(spark, sf_dir):
     df = table(spark, sf_dir, "part", PART)
-    path, settings = scratch(spark, "searches"), Settings(max_length=3)
+    path, settings = scratch(spark, "searches"), Settings()
     for _ in range(2):  # the second one reads what the first one saved
         found = AnonymizationPipeline(spark, settings, path).find(df, {})
     return found.table(spark)
@@ -379,9 +409,9 @@ def falsification_penalty(spark, sf_dir):
     return score.falsification(df, [("p_size", "new")]).select(F.round("penalty", 6).alias("penalty"))
 
 
-@query("SELECT sum(strlen(p_name) + strlen(p_brand) + strlen(p_type) + strlen(p_size::VARCHAR))::BIGINT AS bytes FROM part")
+@query("SELECT sum(strlen(p_name) + strlen(p_brand) + strlen(p_type) + strlen(p_size::VARCHAR) + strlen(p_retailprice::VARCHAR))::BIGINT AS bytes FROM part")
 def data_size(spark, sf_dir):
-    return score.data_size(table(spark, sf_dir, "part", PART[:4]))
+    return score.data_size(table(spark, sf_dir, "part", PART))
 
 
 # ---------------------------------------------------------------- statistics of quasi-identifiers
@@ -389,42 +419,38 @@ def data_size(spark, sf_dir):
 
 @query(f"SELECT c AS colname, count(*) AS n FROM (SELECT unnest(columns) AS c FROM ({_PART_QIS})) GROUP BY 1")
 def popularity(spark, sf_dir):
-    return analyze.popularity(_minimal(spark, sf_dir, "part", PART, 3))
+    return analyze.popularity(_minimal(spark, sf_dir, "part", PART))
 
 
 @query(f"SELECT c AS colname, count(*) AS n FROM (SELECT unnest(columns) AS c FROM ({_PART_QIS})) GROUP BY 1 ORDER BY n DESC, c LIMIT 1")
 def most_popular(spark, sf_dir):
-    return analyze.most_popular(_minimal(spark, sf_dir, "part", PART, 3))
+    return analyze.most_popular(_minimal(spark, sf_dir, "part", PART))
 
 
 @query(f"SELECT * FROM ({_PART_QIS}) WHERE list_contains(columns, 'p_size')")
 def affected_by_column(spark, sf_dir):
-    return analyze.affected_by(_minimal(spark, sf_dir, "part", PART, 3), "p_size")
+    return analyze.affected_by(_minimal(spark, sf_dir, "part", PART), "p_size")
 
 
-@query(f"""WITH q AS ({_minimal_sql('lineitem', LINEITEM, 2)}), c AS (SELECT unnest({LINEITEM!r}) AS a)
+@query(f"""WITH q AS MATERIALIZED ({_LINEITEM_QIS}), c AS (SELECT unnest({LINEITEM!r}) AS a)
 SELECT a AS colname, list_sort(list_append((SELECT coalesce(list(b.a), []) FROM c b WHERE b.a <> c.a AND NOT EXISTS (SELECT 1 FROM q WHERE list_contains(columns, b.a) AND list_contains(columns, c.a))), a)) AS allowed FROM c WHERE len(allowed) > 1""")
 def allowed_columns(spark, sf_dir):
-    return analyze.allowed_columns(_minimal(spark, sf_dir, "lineitem", LINEITEM, 2), LINEITEM)
+    return analyze.allowed_columns(_minimal(spark, sf_dir, "lineitem", LINEITEM), LINEITEM)
 
 
-@query(f"SELECT c AS colname, count(*) AS occurrence, avg(len) AS mean_length FROM (SELECT unnest(columns) AS c, len FROM ({_minimal_sql('lineitem', LINEITEM, 3)})) GROUP BY 1")
-def qi_column_statistics(spark, sf_dir):
-    return analyze.column_statistics(_minimal(spark, sf_dir, "lineitem", LINEITEM, 3), LINEITEM).drop("n_allowed")
-
+_ALLOWED = f"""q AS MATERIALIZED ({_LINEITEM_QIS}), s AS (SELECT c AS colname, count(*) AS occurrence, avg(len) AS mean_length FROM (SELECT unnest(columns) AS c, len FROM q) GROUP BY 1),
+n AS (SELECT unnest({LINEITEM!r}) AS a),
+a AS (SELECT colname, list_sort(list_append((SELECT coalesce(list(a), []) FROM n WHERE a <> colname AND NOT EXISTS (SELECT 1 FROM q WHERE list_contains(columns, a) AND list_contains(columns, colname))), colname)) AS allowed FROM s),
+b AS (SELECT m AS colname, count(*) AS allowed_sets, avg(n) AS mean_allowed_length FROM (SELECT unnest(allowed) AS m, len(allowed) AS n FROM (SELECT DISTINCT allowed FROM a WHERE len(allowed) > 1)) GROUP BY 1)"""
 
-@query(f'SELECT c AS colname, count(*) FILTER (len = 2) AS "2_ucc_found", count(*) FILTER (len = 3) AS "3_ucc_found" FROM (SELECT unnest(columns) AS c, len FROM ({_minimal_sql("lineitem", LINEITEM, 3)})) GROUP BY 1')
-def qi_found_by_length(spark, sf_dir):
-    return analyze.found_by_length(_minimal(spark, sf_dir, "lineitem", LINEITEM, 3), [2, 3])
 
-
-@query()
-def qi_all_column_statistics(spark, sf_dir):
-    return analyze.column_statistics(_minimal(spark, sf_dir, "lineitem", LINEITEM), LINEITEM).drop("n_allowed")
+@query(f"WITH {_ALLOWED} SELECT s.*, CASE WHEN len(allowed) > 1 THEN len(allowed) ELSE 0 END::INT AS n_allowed, coalesce(allowed_sets, 0) AS allowed_sets, mean_allowed_length FROM s JOIN a USING (colname) LEFT JOIN b USING (colname)")
+def qi_column_statistics(spark, sf_dir):
+    return analyze.column_statistics(_minimal(spark, sf_dir, "lineitem", LINEITEM), LINEITEM)
 
 
-@query()
-def qi_all_found_by_length(spark, sf_dir):
+@query("SELECT c AS colname, " + ", ".join(f'count(*) FILTER (len = {n}) AS "{n}_ucc_found"' for n in range(2, len(LINEITEM) + 1)) + f" FROM (SELECT unnest(columns) AS c, len FROM ({_LINEITEM_QIS})) GROUP BY 1")
+def qi_found_by_length(spark, sf_dir):
     return analyze.found_by_length(_minimal(spark, sf_dir, "lineitem", LINEITEM), list(range(2, len(LINEITEM) + 1)))
 
 
@@ -433,12 +459,12 @@ _PART_WEIGHTS = f"WITH e AS (SELECT colname, entropy FROM ({_profile_sql('part',
 
 @query(f"{_PART_WEIGHTS} SELECT len, count(*) AS n, ceil(avg(weight))::BIGINT AS mean_weight FROM w GROUP BY len")
 def qi_length_histogram(spark, sf_dir):
-    return analyze.by_length(analyze.weights(_minimal(spark, sf_dir, "part", PART, 3), profile.profile(table(spark, sf_dir, "part", PART))))
+    return analyze.by_length(analyze.weights(_minimal(spark, sf_dir, "part", PART), profile.profile(table(spark, sf_dir, "part", PART))))
 
 
 @query(f"{_PART_WEIGHTS} SELECT weight::BIGINT AS weight, count(*) AS n FROM w GROUP BY 1")
 def qi_weight_histogram(spark, sf_dir):
-    return analyze.by_weight(analyze.weights(_minimal(spark, sf_dir, "part", PART, 3), profile.profile(table(spark, sf_dir, "part", PART))))
+    return analyze.by_weight(analyze.weights(_minimal(spark, sf_dir, "part", PART), profile.profile(table(spark, sf_dir, "part", PART))))
 
 
 @query("SELECT r::INT AS len, (factorial(10) / (factorial(r::INT) * factorial(10 - r::INT)))::BIGINT AS n_sets FROM range(1, 11) t(r)")
@@ -451,9 +477,10 @@ def round_statistics(spark, sf_dir):
     return analyze.round_statistics(spark, [[2, 2, 2], [3, 4]])
 
 
-@query("SELECT round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std FROM lineitem")
+@query("""SELECT round(max(m), 4) AS mean, round(sqrt(avg((x - m) ** 2)), 4) AS std, round(avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5, 4) AS skewness, round(avg((x - m) ** 4) / avg((x - m) ** 2) ** 2 - 3, 4) AS kurtosis
+FROM (SELECT l_extendedprice AS x, avg(l_extendedprice) OVER () AS m FROM lineitem)""")
 def column_moments(spark, sf_dir):
-    return analyze.moments(table(spark, sf_dir, "lineitem"), "l_quantity").select(F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return analyze.moments(table(spark, sf_dir, "lineitem"), "l_extendedprice").select(*[F.round(c, 4).alias(c) for c in ("mean", "std", "skewness", "kurtosis")])
 
 
 # ---------------------------------------------------------------- l-diversity

@@ -94,7 +94,7 @@ def test_lineitem_queries_find_all_lengths(spark, tmp_path):
     truth = {k: v for k, v in brute(rows, LINEITEM).items() if v}
     truth = {k: v for k, v in truth.items() if not any(set(o) < set(k) for o in truth)}
     assert {len(k) for k in truth} == {2, 4}
-    assert {tuple(r["columns"]): r["unique_rows"] for r in QUERIES["qi_all_minimal_lineitem"](spark, str(tmp_path)).collect()} == truth
+    assert {tuple(r["columns"]): r["unique_rows"] for r in QUERIES["qi_minimal_lineitem"](spark, str(tmp_path)).collect()} == truth
     counts = Counter(c for k in truth for c in k)
-    assert {r["colname"]: (r["occurrence"], r["mean_length"]) for r in QUERIES["qi_all_column_statistics"](spark, str(tmp_path)).collect() if r["occurrence"]} == {c: (n, sum(len(k) for k in truth if c in k) / n) for c, n in counts.items()}
-    assert {r["colname"]: r["4_ucc_found"] for r in QUERIES["qi_all_found_by_length"](spark, str(tmp_path)).collect() if r["4_ucc_found"]} == dict.fromkeys(LINEITEM[:4], 1)
+    assert {r["colname"]: (r["occurrence"], r["mean_length"]) for r in QUERIES["qi_column_statistics"](spark, str(tmp_path)).collect() if r["occurrence"]} == {c: (n, sum(len(k) for k in truth if c in k) / n) for c, n in counts.items()}
+    assert {r["colname"]: r["4_ucc_found"] for r in QUERIES["qi_found_by_length"](spark, str(tmp_path)).collect() if r["4_ucc_found"]} == dict.fromkeys(LINEITEM[:4], 1)
