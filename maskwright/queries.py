@@ -516,11 +516,6 @@ def certainty_penalties(spark, sf_dir):
     return mondrian.penalties(table(spark, sf_dir, "part"), "p_brand", ["p_size", "p_retailprice"]).select(F.round("ncp", 6).alias("ncp"), "dp")
 
 
-@query()
-def mondrian_part(spark, sf_dir):
-    return mondrian.mondrian(table(spark, sf_dir, "part", ["p_size", "p_retailprice", "p_type"]), "p_type", 3)
-
-
 @query("SELECT count(*) AS n_rows, true AS all_diverse, true AS several FROM part")
 def mondrian_properties(spark, sf_dir):
     out = mondrian.mondrian(table(spark, sf_dir, "part", ["p_size", "p_retailprice", "p_type"]), "p_type", 3)

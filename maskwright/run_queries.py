@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwright.config import Settings
 from maskwright.functions.scalars import combinations_count, is_null_literal, split_ranges
-from maskwright.operators import analyze, compartments, mondrian, profile
+from maskwright.operators import analyze, clusters, compartments, mondrian, profile
 from maskwright.operators.search import search
 from maskwright.plans import lattice
 from maskwright.plans.pipeline import AnonymizationPipeline, Outcome
@@ -182,9 +182,58 @@ def sampling_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n_columns int, size int, samples int, drawn_from_all boolean, lattice long")
 
 
+_CLUSTERED = f"c AS (SELECT colname, floor(entropy)::INT AS cluster FROM ({_profile_sql('lineitem', LINEITEM)}))"
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns clustered by whole entropies, which SQL can say too."""
+    return profile.profile(table(spark, sf_dir, "lineitem", LINEITEM)).select("colname", F.floor("entropy").cast("int").alias("cluster"))
+
+
+@query(f"WITH {_CLUSTERED} SELECT colname, cluster FROM c QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY colname) <= 2")
+def first_columns_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.first_of_clusters(_clustered(spark, sf_dir), 2)
+
+
+@query(f"""WITH {_CLUSTERED}, l AS (SELECT cluster, list(colname ORDER BY colname) AS own FROM c GROUP BY 1)
+SELECT list_concat(own, (SELECT coalesce(flatten(list(o.own[:2] ORDER BY o.cluster)), []) FROM l o WHERE o.cluster <> l.cluster AND len(o.own) >= 2)) AS columns FROM l""")
+def groups_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a clustered search takes together: a cluster, and samples of the other ones."""
+    found: dict[int, list[str]] = {}
+    for r in _clustered(spark, sf_dir).orderBy("cluster", "colname").collect():  # a row per column
+        found.setdefault(r["cluster"], []).append(r["colname"])
+    return spark.createDataFrame([(g,) for g in lattice.clustered_plan(list(found.values()))], "columns array<string>")
+
+
 # ---------------------------------------------------------------- l-diversity
 
 
+def _mondrian_sql(rounds: int) -> str:
+    """Cuts of all open partitions, round by round (``rounds``: more than any partition needs)."""
+    a, b = "p_size", "p_retailprice"
+    ctes = [f"s AS (SELECT max({a}) - min({a}) AS a, max({b}) - min({b}) AS b FROM part)", f"t0 AS MATERIALIZED (SELECT {a}, {b}, p_type, '' AS part, 3 AS allowed, true AS open FROM part)"]
+    for i in range(rounds):
+        ctes += [
+            f"""w{i} AS MATERIALIZED (SELECT part, CASE WHEN greatest(x, y) <= 0 THEN 0 WHEN x >= y THEN 1 ELSE 2 END AS dim FROM (SELECT part, CASE WHEN any_value(allowed) & 1 = 1 THEN (max({a}) - min({a})) / any_value(s.a) ELSE -1 END AS x,
+  CASE WHEN any_value(allowed) & 2 = 2 THEN (max({b}) - min({b})) / any_value(s.b) ELSE -1 END AS y FROM t{i}, s WHERE open GROUP BY part))""",
+            f"v{i} AS MATERIALIZED (SELECT t.*, dim, CASE WHEN dim = 1 THEN {a}::DOUBLE WHEN dim = 2 THEN {b} END AS v FROM t{i} t LEFT JOIN w{i} USING (part))",
+            f"""c{i} AS MATERIALIZED (SELECT part, min(v) FILTER (upto >= total // 2) AS split, max(v) AS high FROM (SELECT part, v, sum(count(*)) OVER (PARTITION BY part ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY part) AS total
+  FROM v{i} WHERE open AND v IS NOT NULL GROUP BY part, v) GROUP BY part)""",
+            f"e{i} AS MATERIALIZED (SELECT v.*, CASE WHEN split < high THEN CASE WHEN v <= split THEN '0' ELSE '1' END END AS side FROM v{i} v LEFT JOIN c{i} USING (part))",
+            f"""g{i} AS MATERIALIZED (SELECT part, bool_and(size >= 3 AND kinds >= 3 AND most <= size / 3) AS holds FROM (SELECT part, side, sum(n) AS size, count(p_type) AS kinds, max(n) AS most
+  FROM (SELECT part, side, p_type, count(*) AS n FROM e{i} WHERE open AND side IS NOT NULL GROUP BY ALL) GROUP BY part, side) GROUP BY part)""",
+            f"""t{i + 1} AS MATERIALIZED (SELECT {a}, {b}, p_type, CASE WHEN open AND holds THEN part || '/' || side ELSE part END AS part, CASE WHEN holds THEN 3 ELSE allowed & ~dim END AS allowed,
+  open AND CASE WHEN holds THEN true ELSE dim <> 0 AND allowed & ~dim <> 0 END AS open FROM (SELECT e.*, coalesce(g.holds, false) AS holds FROM e{i} e LEFT JOIN g{i} g USING (part)))""",
+        ]
+    label = lambda c: f"CASE WHEN min({c}) OVER p = max({c}) OVER p THEN {c}::VARCHAR ELSE concat(min({c}) OVER p, ',', max({c}) OVER p) END AS {c}_generalized"
+    return f"WITH {', '.join(ctes)} SELECT {a}, {b}, p_type, part AS part_id, {label(a)}, {label(b)} FROM t{rounds} WINDOW p AS (PARTITION BY part)"
+
+
+@query(_mondrian_sql(30))
+def mondrian_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mondrian.mondrian(table(spark, sf_dir, "part", ["p_size", "p_retailprice", "p_type"]), "p_type", 3)
+
+
 @query("""WITH w AS (SELECT max(p_size) - min(p_size) AS a, max(p_retailprice) - min(p_retailprice) AS b FROM part),
 g AS (SELECT p_brand, (max(p_size) - min(p_size)) / any_value(w.a) AS x, (max(p_retailprice) - min(p_retailprice)) / any_value(w.b) AS y FROM part, w GROUP BY 1)
 SELECT p_brand, CASE WHEN y > x THEN 'p_retailprice' ELSE 'p_size' END AS widest FROM g""")
