@@ -4,18 +4,19 @@ Vectors are quantised to integers, floor(``SCALE`` * x).  A term is a dimension;
 its posting list in a shard holds the shard's values of that dimension.  The
 bound of a term for a query is the largest product that the list can add
 (from its greatest and least value).  Terms are ordered by how far bound and
-least product lie apart; with the threshold (the k-th best score so far) and the
-suffix sums of bounds, the terms split into essential ones, whose postings are
-traversed for every candidate, and non-essential ones, probed only for
-candidates that partial score plus remaining bounds leaves competitive (ties
-included).  Each (shard, block of queries) yields at most k rows per query; they
-are merged by a ranking window.
-
-Candidates go in shards of about ``SHARD`` rows, queries in blocks of about
-``BLOCK`` rows, and every block meets every shard: the stated query set against
-all rows, in blocks of bounded size, none of them broadcast.
-
-Defined cases: vectors that are null or hold a null or a non-finite component
+least product lie apart.  Candidates are taken ``CHUNK`` at a time; with a query's
+threshold (its k-th best score so far, which rises on the way) and the suffix
+sums of bounds, its terms split into essential ones, whose postings are traversed
+for every candidate, and non-essential ones, probed only for candidates that
+partial score plus remaining bounds leaves competitive (ties included).  Each
+(shard, block of queries) yields at most k rows per query; they are merged by a
+ranking window.
+
+Candidates go in shards, queries in blocks of at most about ``TILE`` bytes each,
+and every block meets every shard: the stated query set against all rows, in
+tiles of bounded size, none of them broadcast.
+
+Defined cases: empty tables give empty results; vectors that are null or hold a null or a non-finite component
 take no part, nor do null ids; vectors of different lengths are compared as if
 filled up with zeros; ties go to the smaller id; a repeated id is a candidate for other ids'
 queries once per row, and a repeated query id answers once; scores beyond 64 bits saturate; extra columns are not read.
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCALE, K = 1024, 10
-SHARD, BLOCK = 8192, 2048
+#: Bytes of a shard's candidates and of a block's queries; rows of a shard if it could be spread over more cores.
+TILE, SHARD = 32 << 20, 8192
+#: Candidates between two looks at the thresholds, and terms between two looks at a candidate.
+CHUNK, STEP = 1024, 8
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -57,35 +61,37 @@ def max_score(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids:
     most, least = rows.max(0), rows.min(0)
     order = np.argsort(-(most - least) * np.abs(queries).max(0), kind="stable")  # one order for the block, so that its postings are read together
     queries, rows, most, least = queries[:, order], np.ascontiguousarray(rows[:, order]), most[order], least[order]
+    n, width = queries.shape
     bounds = np.maximum(queries * most, queries * least)
-    floors = np.minimum(queries * most, queries * least)
-    remaining = np.concatenate([np.cumsum(bounds[:, ::-1], 1)[:, ::-1], np.zeros((len(queries), 1))], 1)  # what terms from t on add at most
-    gain = np.concatenate([np.cumsum((bounds - floors)[:, ::-1], 1)[:, ::-1], np.zeros((len(queries), 1))], 1)
-    probe = rows[: 8 * k]
-    first = queries @ probe.T
-    first[query_ids[:, None] == ids[: len(probe)]] = -np.inf
-    thresholds = np.sort(first, 1)[:, -k] if len(probe) > k else np.full(len(queries), -np.inf)
-    # essential: the terms without which the others could still lift an average candidate over the threshold
-    middle = queries @ rows.mean(0)
-    spread = thresholds - middle
-    split = int(np.ceil(np.median((gain > np.maximum(spread, 1)[:, None]).sum(1)))) if np.isfinite(spread).all() else queries.shape[1]
-    split = min(max(split, 1), queries.shape[1]) if queries.shape[1] else 0
-    partial = queries[:, :split] @ rows[:, :split].T
-    out_q, out_i, out_s = [], [], []
-    for q in range(len(queries)):
-        alive = np.flatnonzero((partial[q] + remaining[q, split] >= thresholds[q]) & (ids != query_ids[q]))
-        score, t = partial[q, alive], split
-        while t < queries.shape[1] and len(alive):
-            stop = min(t + 8, queries.shape[1])  # probe a few terms, then drop what can no longer compete
-            score = score + rows[alive, t:stop] @ queries[q, t:stop]
-            t = stop
-            keep = score + remaining[q, t] >= thresholds[q]
-            alive, score = alive[keep], score[keep]
-        best = _best(score, ids[alive], k)
-        out_q.append(np.full(len(best), query_ids[q]))
-        out_i.append(ids[alive[best]])
-        out_s.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+    remaining = np.concatenate([np.cumsum(bounds[:, ::-1], 1)[:, ::-1], np.zeros((n, 1))], 1)  # what terms from t on add at most
+    usual = np.concatenate([np.zeros((n, 1)), np.cumsum(queries * rows.mean(0), 1)], 1)  # what an average candidate has up to term t
+    scores, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    for start in range(0, len(rows), CHUNK):
+        part, own = rows[start : start + CHUNK], ids[start : start + CHUNK]
+        thresholds = scores[:, -1]  # they rise from chunk to chunk
+        # essential: the terms without which the others could still lift an average candidate to the query's threshold
+        out = usual + remaining < thresholds[:, None]
+        split = np.where(out.any(1), out.argmax(1), width)
+        split = np.minimum(-(-split // STEP) * STEP, width)
+        for s in np.unique(split).tolist():
+            asked = np.flatnonzero(split == s)
+            partial = queries[asked, :s] @ part[:, :s].T
+            competitive = (partial + remaining[asked, s, None] >= thresholds[asked, None]) & (query_ids[asked, None] != own)
+            for i, q in enumerate(asked.tolist()):
+                alive = np.flatnonzero(competitive[i])
+                score, t = partial[i, alive], s
+                while t < width and len(alive):
+                    stop = min(t + STEP, width)  # probe a few terms, then drop what can no longer compete
+                    score = score + part[alive, t:stop] @ queries[q, t:stop]
+                    t = stop
+                    keep = score + remaining[q, t] >= thresholds[q]
+                    alive, score = alive[keep], score[keep]
+                if len(alive):
+                    both, names = np.concatenate([scores[q], score]), np.concatenate([found[q], own[alive]])
+                    best = _best(both, names, k)
+                    scores[q], found[q] = both[best], names[best]
+    real = np.isfinite(scores)
+    return np.repeat(query_ids, k).reshape(n, k)[real], found[real], scores[real]
 
 
 def _exactly(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
@@ -102,8 +108,9 @@ def _exactly(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tuple[in
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score); ``is_query`` is a condition on ``id``."""
     rows = quantised(vectors, id_column, vector_column, scale)
-    total, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-total // SHARD)), max(1, -(-asked // BLOCK))
+    total, asked, width = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
+    fits = max(1, TILE // (8 * max(1, width or 1)))
+    shards, blocks = max(1, -(-total // fits), min(-(-total // SHARD), vectors.sparkSession.sparkContext.defaultParallelism)), max(1, -(-asked // fits))
     spread = F.xxhash64("id", F.lit(5))
     queries = rows.where(is_query).dropDuplicates(["id"]).withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
