@@ -47,19 +47,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             yield batch.slice(start)
 
 
-def unused(df: DataFrame, n: int, stem: str = "own") -> list[str]:
-    """Names for helper columns that the table lacks (Spark doesn't tell upper from lower case)."""
-    there = {c.lower() for c in df.columns}
-    out: list[str] = []
-    number = 0
-    while len(out) < n:
-        name = f"_{stem}{number}"
-        if name not in there:
-            out.append(name)
-        number += 1
-    return out
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """checkpoint() needs a shared folder: the cluster's ``spark.checkpoint.dir``, else (tests, a single machine) our own."""
     context = spark.sparkContext

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskwright.llm.common import ensure_checkpoint_dir, unused
+from maskwright.functions.scalars import unused
+from maskwright.llm.common import ensure_checkpoint_dir
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3

@@ -21,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import ensure_checkpoint_dir, unused
+from maskwright.functions.scalars import unused
+from maskwright.llm.common import ensure_checkpoint_dir
 
 OWNERS, REPOSITORIES = 3, 5
 MASK = "[SECRET]"

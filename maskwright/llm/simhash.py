@@ -52,7 +52,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import ensure_checkpoint_dir, slices, texts, unused
+from maskwright.functions.scalars import unused
+from maskwright.llm.common import ensure_checkpoint_dir, slices, texts
 from maskwright.llm.graph import components
 
 SHINGLE, SEED, BITS = 4, 42, 4

@@ -453,9 +453,10 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     rows = [(i, rng.normal(size=16).round(2).tolist()) for i in range(400)]
     rows += [(500, None), (501, [None] * 16), (502, [float("nan")] * 16), (600, [float("inf")] * 16), (503, rows[3][1]), (504, rows[3][1]), (700, [0.0] * 16), (505, [0.5, 0.5]), (None, [1.0] * 16)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, shard int")
-    for shard, block in ((8192, 2048), (50, 2)):
+    for shard, block in ((8192, 2048), (50, 7)):
         monkeypatch.setattr(topk, "SHARD", shard)
-        monkeypatch.setattr(topk, "BLOCK", block)
+        monkeypatch.setattr(topk, "CHUNK", block)
+        monkeypatch.setattr(topk, "TILE", 8 * 16 * block)
         found = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0).collect())
         assert found == brute_top(rows)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
