@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskwright.session import scratch
+from maskwright.session import remove, scratch
 
 LOCAL = 50_000
 
@@ -130,6 +130,8 @@ def mondrian(df: DataFrame, sensitive: str, l: int, qi: Sequence[str] | None = N
             break
         rows = _round(rows.where("_open").join(large.select("part_id"), "part_id", "left_semi").select(*rows.columns), qi, taxonomies, ranges, sensitive, l, everything)
     out.write.parquet(f"{base}/out")  # the rounds' rows, put together once
+    for round_ in range(number + 1):
+        remove(spark, f"{base}/{round_}")
     out = spark.read.schema(out.schema).parquet(f"{base}/out")
     # a row per partition; Spark broadcasts them below its size limit, and splits a large partition's join
     ends = [x for i, c in enumerate(qi) if c not in taxonomies for x in (F.min(c).cast("string").alias(f"_low{i}"), F.max(c).cast("string").alias(f"_high{i}"))]

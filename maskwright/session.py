@@ -35,6 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ours that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def session(name: str = "maskwright", master: str = "local[*]", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the tests and the benchmark use."""
     builder = SparkSession.builder.appName(name).master(master)
