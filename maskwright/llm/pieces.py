@@ -20,14 +20,16 @@ put in front (others are refused).  Defined cases: null and empty text have no
 ids; whole texts of any length, in memory that grows with the text; each row of
 a repeated id is encoded by its own text; an empty table gives an empty result;
 extra columns aren't read, whatever their names; ids in any order decode; the
-model's path is a parameter and must exist on every executor.
+model's path is a parameter, read by the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -45,8 +47,8 @@ _CHUNK = re.compile(" *[^ ]+| +")
 class PieceCoder:
     """Encodes and decodes with one model; holds caches of fixed size."""
 
-    def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, model_bytes: bytes):
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         if model.normalize("ﬁ  Ａ ") != f"{MARK}ﬁ{MARK}{MARK}Ａ{MARK}":
             raise ValueError("only models with identity normalisation and a space in front are supported")
         n = model.vocab_size()
@@ -222,22 +224,34 @@ def _lenient(data: bytes) -> str:
     return "".join(out)
 
 
-_coders: dict[str, PieceCoder] = {}
+_coders: dict[bytes, PieceCoder] = {}
+#: A model file's greatest size in bytes; its content is broadcast.
+MODEL = 64 << 20
 
 
-def coder(path: str) -> PieceCoder:
+def model_bytes(path: str) -> bytes:
+    """The content of a model file, which only the driver needs to see."""
+    size = os.path.getsize(path)
+    if size > MODEL:
+        raise ValueError(f"the model has {size} bytes, more than {MODEL}")
+    return Path(path).read_bytes()
+
+
+def coder(content: bytes) -> PieceCoder:
     """One coder for each model and process."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    key = hashlib.sha256(content).digest()
+    if key not in _coders:
+        _coders[key] = PieceCoder(content)
+    return _coders[key]
 
 
 def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of every whole text."""
     kind = docs.schema[id_column].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(shared.value)
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -247,9 +261,10 @@ def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
 def decode_pieces(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(doc_id, text): the decoded ids (null: empty)."""
     kind = encoded.schema[id_column].dataType.simpleString()
+    shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -259,9 +274,10 @@ def decode_pieces(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_
 def piece_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode every text, decode its ids, and digest both in one pass: what ``op3`` returns."""
     kind = docs.schema[id_column].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(shared.value)
         for batch in slices(batches, "text"):
             rows = [own.digest(t or "") for t in batch.column(1).to_pylist()]
             counts, ids, decoded = zip(*rows, strict=True)
