@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from maskwright.llm.common import crc_mod, ensure_checkpoint_dir, slices
 
 ORDER = 5
-PER_LANGUAGE, IN_ALL, LONGEST = 400, 4000, 50_000
+PER_LANGUAGE, IN_ALL, LONGEST = 400, 4000, 20_000
 UNKNOWN = "und"
 #: Standard deviations above a language's own cross-entropy at which a text is rejected.
 BOUND = 8.0
