@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import ensure_checkpoint_dir, slices
+from maskwright.session import remove
 
 #: Pages that a wrapper must come from before its literals count, and the longest literal that is held as text (longer ones by their hash).
 LEAST, LITERAL = 8, 120
@@ -352,10 +353,9 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled()
 
 
-def fit_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, literals: JSON) of (host, html): hosts whose wrapper has literals that count."""
+def fit_wrappers(pages: DataFrame, path: str) -> DataFrame:
+    """(host, literals: JSON) of (host, html): hosts whose wrapper has literals that count; the pages' streams are kept under ``path``."""
     spark = pages.sparkSession
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams-{uuid.uuid4().hex}"
     page_streams(pages).write.parquet(path)  # each page is parsed once
     streams = spark.read.schema("host string, mark long, identity long, wrapper string").parquet(path)
     # different pages over the whole table: copies count once, wherever they lie
@@ -470,7 +470,9 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     kind = pages.schema[id_column].dataType.simpleString()
     given = pages.select(pages[id_column].alias("page_id"), pages[url_column].alias("url"), F.coalesce(pages[html_column], F.lit("")).alias("html"), host_of(pages[url_column]).alias("host"))
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/wrappers-{uuid.uuid4().hex}"
-    fit_wrappers(given).write.parquet(path)
+    streams = f"{path}-streams"
+    fit_wrappers(given, streams).write.parquet(path)
+    remove(spark, streams)
     sites = spark.read.schema("host string, literals string").parquet(path).withColumnRenamed("host", "_host")  # all names here are this module's
     # few hosts have literals; Spark broadcasts them only below its size limit
     joined = given.join(sites, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "literals")

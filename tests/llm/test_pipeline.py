@@ -46,6 +46,33 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, seen["SentencePiece"].collect()))
 
 
+def test_stages_with_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
+    rng = random.Random(9)
+    words = [a + b for a in ("th", "wi", "fr", "an") for b in ("e", "th", "om", "d", "at")]
+    text = lambda n=60: " ".join(rng.choices(words, k=n))
+    rows = [(i, text(), "en", f"s{i % 3}", 0) for i in range(60)]
+    alike = text(200)
+    rows += [(None, alike, "en", "s0", 0), (None, alike + " and", "en", "s1", 0), (None, "token=abcdefghijklmnop " + text(), "en", None, 0)]
+    rows += [(70, text(), "en", "s1", 0), (70, text(), "en", "s1", 0), (71, rows[5][1], "en", "s0", 0), (72, text(30_000), "en", "s2", 0), (72, None, "en", "s2", 0), (73, "", None, None, 0)]
+    extra = "_own0 string, _OWN1 string, fp int, h int, lang_pred string, spans string, copies int, key string, bytes string"
+    docs = spark.createDataFrame([(*r, "a", "b", 1, 2, "c", "d", 3, "e", "f") for r in rows], f"{SCHEMA}, {extra}").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    given, kept = docs, {}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, given, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        given = spark.read.parquet(f"{tmp_path}/{number}")
+        kept[name] = given.collect()
+        assert number == 4 or given.columns == docs.columns
+    near = kept["SimHash near-dedup"]
+    assert len(kept["language ID"]) == len(rows) - 2 and len(near) == len(rows) - 4
+    assert sum(r["doc_id"] == 70 for r in near) == 2 and not any(r["doc_id"] == 71 for r in near)
+    assert sum(r["text"].startswith(alike) for r in near) == 1
+    masked = kept["secret scans"]
+    assert len(masked) == len(near) and not any("abcdefghijklmnop" in r["text"] for r in masked)
+    assert len(next(r for r in masked if r["doc_id"] == 72)["text"].split()) == 30_000
+    assert len(kept["SentencePiece"]) == len(kept["mixing sources"])
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     given = spark.createDataFrame([], SCHEMA)
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):

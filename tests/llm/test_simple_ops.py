@@ -174,14 +174,14 @@ def library():
 @hypothesis_settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aab  ▁\n\t<s>é😀ﬁ\x00—theingst中文"), st.characters(codec="utf-8")), max_size=40))
 def test_encoding_equals_the_library(text):
-    model, own = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.coder(PATH)
+    model, own = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.coder(pieces.model_bytes(PATH))
     ids = model.encode(text)
     assert own.encode(text) == ids and own.decode(ids) == model.decode(ids)
     assert own.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())
 
 
 def test_long_words_and_any_ids(library):
-    own, rng = pieces.coder(PATH), random.Random(1)
+    own, rng = pieces.coder(pieces.model_bytes(PATH)), random.Random(1)
     for text in ("a" * 20_000, "".join(rng.choice("abcdefst") for _ in range(20_000)), " " * 999 + "x", "▁" * 17):
         assert own.encode(text) == library.encode(text)
     for _ in range(500):
@@ -306,7 +306,7 @@ def test_toxicity_learns_from_toxic_labels_alone(spark):
 
 
 def test_pieces_decode_broken_bytes():
-    coder, library = pieces.coder(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    coder, library = pieces.coder(pieces.model_bytes(PATH)), sentencepiece.SentencePieceProcessor(model_file=PATH)
     for ids in ([coder.byte_ids[0xFF]] * 5000, [coder.byte_ids[b] for b in (0xE2, 0x96, 0x41, 0xF0, 0x9F, 0x98, 0x80)] * 30):
         assert coder.decode(ids) == library.decode(ids)
 
