@@ -103,3 +103,14 @@ def test_mondrian_with_taxonomy(spark):
     assert {(r["animal"], r["animal_generalized"]) for r in out.collect()} == {(k, k) for k in leaves}
     coarse = mondrian.mondrian(spark.createDataFrame([("cat", "x"), ("dog", "y"), ("cow", "x"), ("pig", "y")], "animal string, s string"), "s", 2, taxonomies={"animal": taxonomy})
     assert {(r["animal"], r["animal_generalized"]) for r in coarse.collect()} == set(leaves.items())
+
+
+def test_allowed_sets_and_penalties_over_taxonomies(spark):
+    qis = spark.createDataFrame([(["a", "b"], 2), (["a", "c"], 2)], "columns array<string>, len int")
+    stats = {r["colname"]: r for r in analyze.column_statistics(qis, list("abcd")).collect()}
+    # allowed: a with d, b with c and d, c with b and d (one set with the one before)
+    assert {c: (r["n_allowed"], r["allowed_sets"], r["mean_allowed_length"]) for c, r in stats.items()} == {"a": (2, 1, 2.0), "b": (3, 1, 3.0), "c": (3, 1, 3.0)}
+    taxonomy = spark.createDataFrame([("x", ["*", "l", "x"]), ("y", ["*", "l", "y"]), ("z", ["*", "r", "z"]), ("w", ["*", "r", "w"])], "leaf string, path array<string>")
+    rows = [(0, "x"), (0, "x"), (1, "x"), (1, "y"), (2, "x"), (2, "z"), (3, "?")]
+    ncp = mondrian.penalties(spark.createDataFrame(rows, "part int, kind string"), "part", ["kind"], {"kind": taxonomy}).first()
+    assert abs(ncp["ncp"] - (2 * 0 + 2 * 0.5 + 2 * 1 + 1 * 1) / 7 * 100) < 1e-9 and ncp["dp"] == 13

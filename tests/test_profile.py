@@ -46,3 +46,13 @@ def test_numeric_text(spark):
     assert [r["n"] for r in rows] == [34.0, 34.0, -1.0, None, None, None]
     assert [r["z"] for r in rows] == [34.0, 0, 0, 0, 0, 0]
     assert scalars.combinations_count(10, 3) == 120 and scalars.combinations_count(4) == 11
+
+
+def test_orders_of_columns_and_identifiers(spark):
+    df = spark.createDataFrame([(i, i % 4, i % 2, None) for i in range(20)], "id int, four int, two int, nothing string")
+    profiled = profile.profile(df)
+    assert [r["colname"] for r in profile.ranked(profiled).orderBy("place").collect()] == ["id", "four", "two", "nothing"]
+    assert [r["colname"] for r in profile.ranked(profiled, "entropy").orderBy("place").collect()] == ["id", "four", "two", "nothing"]
+    assert profile.highest_cardinality(profiled, ["two", "four"]).first()["colname"] == "four"
+    assert profile.without_identifiers(df).columns == ["four", "two", "nothing"]
+    assert profile.prefix(df, 0).columns == df.columns

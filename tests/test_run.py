@@ -112,3 +112,27 @@ def test_jdbc_sink(spark, tmp_path):
         sinks.write_jdbc(df, url, "stored", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, width=None)
     back = spark.read.jdbc(url, "stored", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     assert sorted((r[0], r[1]) for r in back.collect()) == [("1", "it's"), ("2", None)]
+
+
+def test_all_columns_are_taken_unless_told_otherwise(spark):
+    df = spark.createDataFrame([tuple([i % 2] * 15) for i in range(8)], ", ".join(f"c{i} int" for i in range(15)))
+    outcome = AnonymizationPipeline(spark, Settings()).run(df)
+    assert outcome.table.columns == df.columns and outcome.cut == []
+    outcome = AnonymizationPipeline(spark, Settings(max_columns=4)).run(df)
+    assert len(outcome.table.columns) == 4 and outcome.cut == df.columns[4:]
+
+
+def test_a_failing_job_stays_and_holds_up_none(spark, tmp_path):
+    store = jobs.JobStore(spark, f"{tmp_path}/jobs")
+    bad = store.submit(["a"], 1, "bad", ["a", "b"])
+    store.submit(["a", "b"], 1, "good", ["a", "b"])
+    done = []
+
+    def handle(job):
+        if job["table_name"] == "bad":
+            raise ValueError("no such table\nand more")
+        done.append(job["table_name"])
+
+    jobs.work(store, handle, f"{tmp_path}/state").awaitTermination()
+    assert done == ["good"]
+    assert [(r["job_id"], r["status"], r["cause"]) for r in store.all().collect()] == [(bad["job_id"], "failed", "ValueError: no such table")]

@@ -98,3 +98,30 @@ def test_lineitem_queries_find_all_lengths(spark, tmp_path):
     counts = Counter(c for k in truth for c in k)
     assert {r["colname"]: (r["occurrence"], r["mean_length"]) for r in QUERIES["qi_column_statistics"](spark, str(tmp_path)).collect() if r["occurrence"]} == {c: (n, sum(len(k) for k in truth if c in k) / n) for c, n in counts.items()}
     assert {r["colname"]: r["4_ucc_found"] for r in QUERIES["qi_found_by_length"](spark, str(tmp_path)).collect() if r["4_ucc_found"]} == dict.fromkeys(LINEITEM[:4], 1)
+
+
+@hypothesis_settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[st.integers(0, n) for n in (1, 1, 2, 4, 9)]), min_size=1, max_size=25))
+def test_sets_within_empty_ones_are_not_counted(spark, rows):
+    names = ["a", "b", "c", "d", "e"]
+    truth = {k: v for k, v in brute(rows, names).items() if v}
+    found = search(spark.createDataFrame(rows, "a int, b int, c int, d int, e int"), Settings())
+    assert dict(zip(found.sets, [found.found[m] for m in found.masks], strict=True)) == {k: v for k, v in truth.items() if not any(set(o) < set(k) for o in truth)}
+
+
+def test_a_table_without_unique_rows_ends_at_once(spark):
+    df = spark.createDataFrame([tuple([i % 3] * 15) for i in range(30)], ", ".join(f"c{i} int" for i in range(15)))
+    found = search(df, Settings())
+    assert found.sets == [] and found.evaluated < 6
+
+
+def test_groups_of_columns(spark, monkeypatch):
+    rows = [tuple((i * k) % m for k, m in ((1, 3), (3, 5), (7, 4), (5, 7), (1, 2))) for i in range(16)]
+    names, groups = list("abcde"), [["a", "b", "c"], ["b", "c", "d"]]
+    truth = {k: v for k, v in brute(rows, names).items() if v and any(set(k) <= set(g) for g in groups)}
+    minimal = {k: v for k, v in truth.items() if not any(set(o) < set(k) for o in truth)}
+    monkeypatch.setattr(lattice, "chunked_plan", lambda names, seed: groups)
+    monkeypatch.setattr(lattice, "sampling_plan", lambda names, seed: groups)
+    for strategy in ("sampled", "drawn"):
+        found = search(spark.createDataFrame(rows, "a int, b int, c int, d int, e int"), Settings(strategy=strategy))
+        assert dict(zip(found.sets, [found.found[m] for m in found.masks], strict=True)) == minimal and found.uncovered == ["e"]
