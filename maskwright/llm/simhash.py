@@ -14,13 +14,13 @@ in 2^32.  Differing bits are then counted: the links are exact.
 ``keep_first`` has to find texts whose sets of five-word shingles have a
 similarity (shared of all) of ``SIMILARITY`` = 0.8.  There the plain
 fingerprint fails: about 10 of its 64 bits differ, spread over all its bytes.
-So its fingerprint is sampled: ``SAMPLES`` = 128 bytes, each the SimHash byte
+So its fingerprint is sampled: ``SAMPLES`` = 256 bytes, each the SimHash byte
 of a sample of one shingle, the least under an order of its own.  A byte agrees
 with about the probability of the similarity, not of its eighth power.  Each
 fingerprint is listed under ``GROUPS`` = 10 groups of four positions (of a pair
-at 0.8, all lists miss one in two hundred), and ``SHARED`` = 97 shared bytes
-verify it: nine of ten pairs at 0.8 have them, practically all from 0.85 on; one
-of ten pairs at 0.7, practically none below 0.65.
+at 0.8, all lists miss one in two hundred), and ``SHARED`` = 198 shared bytes
+verify it: 88 of 100 pairs at 0.8 have them, practically all from 0.83 on; 22 at
+0.75, one at 0.7, practically none below.
 
 A list is searched from a queue, each fingerprint against those not yet reached,
 so m linked ones cost few passes and give at most m - 1 edges (a spanning forest
@@ -61,7 +61,7 @@ SHINGLE, SEED, BITS = 4, 42, 4
 MATCHES = 8 - BITS
 CHOICES = list(combinations(range(8), MATCHES))
 #: The sampled fingerprint: words of a shingle, similarity looked for, bytes, shared bytes, groups of four bytes in the index.
-WORDS, SIMILARITY, SAMPLES, SHARED, GROUPS = 5, 0.8, 128, 97, 10
+WORDS, SIMILARITY, SAMPLES, SHARED, GROUPS = 5, 0.8, 256, 198, 10
 #: Members from which on a list is searched in tiles.
 LIMIT = 20_000
 #: Linked fingerprints that a task joins up before it hands on what it knows.
