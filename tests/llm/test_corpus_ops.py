@@ -299,6 +299,14 @@ def test_mix_repeats_rows(spark):
     assert out.columns == df.columns and counts == {i: n for i, n in taken.items() if n}
 
 
+def test_mixing_many_sources_is_the_same_without_broadcasts(spark, monkeypatch):
+    rows = [(i, "w " * (i % 50), f"s{i % 7}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
+
+
 def test_mix_repeats_rows_of_null_and_repeated_ids(spark):
     rows = [(None if i % 2 else 7, " ".join(["w"] * (i % 40 + 1)) + f" {i}", f"s{i % 3}", "x", "y", 1, 2) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _own0 string, _own1 string, _own2 int, mark int")
