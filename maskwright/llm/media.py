@@ -15,9 +15,12 @@ mix lengths go through the bit-by-bit reader, so any 8-bit progressive Huffman
 JPEG of one or three components decodes.
 
 Defined cases: null text counts as empty (one block of spaces); equal texts
-give equal media; an empty table gives an empty result; other input columns
-are not read.  A document is held whole in one task (a few times its size);
-documents are handled one at a time, and scans in runs of ``RUN`` blocks.
+give equal media; each row of a repeated or null id is stored by its own text; an
+empty table gives an empty result; other input columns aren't read, whatever
+their names.  A very long document is held whole in one task: its bytes, its
+stored form, its coefficients (12 bytes for each of the payload) and its pixels
+as bytes.  Documents are handled one at a time; scans and pixels are worked on in
+runs of about ``RUN`` blocks.
 """
 
 from __future__ import annotations
@@ -409,16 +412,29 @@ class ProgressiveDecoder:
 
     def rgb(self) -> np.ndarray:
         """(height, width, 3), uint8."""
-        planes = []
-        for part in self.parts.values():
-            natural = np.empty(part.coefficients.shape, np.float64)
-            natural[:, ZIGZAG] = part.coefficients * self.quants[part.quant]
-            blocks = DCT.T @ natural.reshape(-1, 8, 8) @ DCT
-            plane = blocks.reshape(part.down, part.across, 8, 8).swapaxes(1, 2).reshape(part.down * 8, part.across * 8)
-            plane = np.floor(plane + 128.5).clip(0, 255)
-            if (part.h, part.v) != (self.most_h, self.most_v):
-                plane = plane.repeat(self.most_v // part.v, 0).repeat(self.most_h // part.h, 1)
-            planes.append(plane[: self.height, : self.width])
+        out = np.empty((self.height, self.width, 3), np.uint8)
+        parts = list(self.parts.values())
+        mcu_rows, mcu_columns = parts[0].down // parts[0].v, parts[0].across // parts[0].h
+        step = max(1, RUN // mcu_columns)
+        for row in range(0, mcu_rows, step):  # a strip at a time
+            top, stop = row * 8 * self.most_v, min((row + step) * 8 * self.most_v, self.height)
+            out[top:stop] = self._strip([self._plane(p, row, min(row + step, mcu_rows))[: stop - top, : self.width] for p in parts])
+        return out
+
+    def _plane(self, part: _Component, row: int, stop: int) -> np.ndarray:
+        """Samples of one component at full resolution, of the MCU rows from ``row`` to ``stop``."""
+        down, across = (stop - row) * part.v, part.across
+        held = part.coefficients[row * part.v * across : stop * part.v * across]
+        natural = np.empty(held.shape, np.float64)
+        natural[:, ZIGZAG] = held * self.quants[part.quant]
+        blocks = DCT.T @ natural.reshape(-1, 8, 8) @ DCT
+        plane = np.floor(blocks.reshape(down, across, 8, 8).swapaxes(1, 2).reshape(down * 8, across * 8) + 128.5).clip(0, 255)
+        if (part.h, part.v) != (self.most_h, self.most_v):
+            plane = plane.repeat(self.most_v // part.v, 0).repeat(self.most_h // part.h, 1)
+        return plane
+
+    @staticmethod
+    def _strip(planes: list[np.ndarray]) -> np.ndarray:
         if len(planes) == 1:
             return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
@@ -436,8 +452,12 @@ class ProgressiveDecoder:
 def feature(tensor: np.ndarray) -> str:
     """Size, then sum and sum of squares of each channel: exact integers, so equal images give equal strings."""
     height, width, _ = tensor.shape
-    flat = tensor.reshape(-1, 3).astype(np.int64)
-    return f"{width}x{height}:" + ",".join(map(str, [*flat.sum(0), *(flat * flat).sum(0)]))
+    sums, squares, step = np.zeros(3, np.int64), np.zeros(3, np.int64), max(1, (1 << 18) // max(1, width))
+    for top in range(0, height, step):
+        flat = tensor[top : top + step].reshape(-1, 3).astype(np.int64)
+        sums += flat.sum(0)
+        squares += (flat * flat).sum(0)
+    return f"{width}x{height}:" + ",".join(map(str, [*sums, *squares]))
 
 
 # ---------------------------------------------------------------- operators
