@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -71,6 +72,13 @@ def _empty_sets(df: DataFrame, names: Sequence[str], n_rows: int, settings: Sett
     return [m for m in tried if not counts.get(m, 0)], len(tried)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the table is columns of files and nothing more: those are read again as cheaply as a copy of them would be."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    lines = plan.toString().strip().split("\n")
+    return plan.deterministic() and all(re.match(r"[\s:+-]*(Project|Relation)\b", line) for line in lines) and "Relation" in lines[-1]
+
+
 def _has_nulls(df: DataFrame) -> bool:
     any_null = F.lit(False)
     for c in df.columns:
@@ -97,7 +105,9 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
         groups = [lattice.mask_of(map(names.index, group)) for group in plan]
         settings = replace(settings, strategy="minimal")
     held = lambda m: groups is None or any(m & g == m for g in groups)  # noqa: E731  a set of several groups is counted once
-    df = df.cache()  # every level scans it
+    cached = not _is_scan(df)
+    if cached:  # every level scans it
+        df = df.cache()
     try:
         result = SearchResult(names, df.count(), uncovered=uncovered)
         enough = lambda n: n > 0 and (not settings.min_coverage_pct or 100.0 * n / result.n_rows > settings.min_coverage_pct)
@@ -135,7 +145,8 @@ def search(df: DataFrame, settings: Settings = Settings(), entropies: dict[str,
             open_sets = [m for m in candidates if m not in hits]
         return result
     finally:
-        df.unpersist()
+        if cached:
+            df.unpersist()
 
 
 def _groups(df: DataFrame, settings: Settings) -> list[list[str]]:
