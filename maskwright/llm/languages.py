@@ -40,6 +40,8 @@ from maskwright.llm.common import crc_mod, ensure_checkpoint_dir, slices
 
 ORDER = 5
 PER_LANGUAGE, IN_ALL, LONGEST = 400, 4000, 20_000
+#: Bytes of text scored at once; scoring takes about 150 bytes of memory for each.
+SLICE = 1 << 18
 UNKNOWN = "und"
 #: Standard deviations above a language's own cross-entropy at which a text is rejected.
 BOUND = 8.0
@@ -268,7 +270,7 @@ def identify(docs: DataFrame, models: LanguageModels, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             ids = batch.column(0).to_pylist()
             lang, score, entropy, rejected = zip(*own.predict([t or "" for t in batch.column(1).to_pylist()]), strict=True)
             held = [None if fold is None else crc_mod(i, 3) == fold for i in ids]
@@ -288,7 +290,7 @@ def keep_identified(docs: DataFrame, models: LanguageModels, text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices([whole], whole.schema.names[at], 1 << 20):
+            for batch in slices([whole], whole.schema.names[at], SLICE):
                 keep = [not p[3] for p in own.predict([t or "" for t in batch.column(at).to_pylist()])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
