@@ -40,7 +40,7 @@ from maskwright.llm.common import slices
 
 MARK = "▁"
 #: Chunks, and pairs of pieces, that an encoder remembers.
-CHUNKS, PAIRS = 200_000, 500_000
+CHUNKS, PAIRS = 100_000, 500_000
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
