@@ -12,15 +12,16 @@ two that link meet in at least one list, and by chance two meet in a list once
 in 2^32.  Differing bits are then counted: the links are exact.
 
 ``keep_first`` has to find texts whose sets of five-word shingles have a
-similarity (shared of all) of ``SIMILARITY`` = 0.8.  There the plain
-fingerprint fails: about 10 of its 64 bits differ, spread over all its bytes.
-So its fingerprint is sampled: ``SAMPLES`` = 128 bytes, each the SimHash byte
-of a sample of one shingle, the least under an order of its own.  A byte agrees
-with about the probability of the similarity, not of its eighth power.  Each
-fingerprint is listed under ``GROUPS`` = 10 groups of four positions (of a pair
-at 0.8, all lists miss one in two hundred), and ``SHARED`` = 97 shared bytes
-verify it: nine of ten pairs at 0.8 have them, practically all from 0.85 on; one
-of ten pairs at 0.7, practically none below 0.65.
+similarity (shared of all) of ``SIMILARITY`` = 0.8.  Their 64-bit fingerprints
+differ in about 10 bits, spread over all bytes, too few bits to tell 0.8 from
+0.7.  So it takes the SimHash to ``WIDE`` = 64 bytes, 512 bits: the majority
+over all distinct shingles, each hash drawn out to 512 bits.  Of a pair at 0.8
+about 78 bits differ and 17 bytes agree.  Each fingerprint is listed under the
+64 choices of two neighbouring positions (the last with the first); of pairs at
+0.8 one in fifty meets in no list, at 0.85 one in four hundred.  The least
+number of matches can't be guaranteed here: ``WIDE_MATCHES`` = 5 shared bytes,
+which one in a thousand of the pairs at the bound of bits lacks.  Pairs with
+them link if at most ``WIDE_BITS`` = 86 bits differ.
 
 A list is searched from a queue, each fingerprint against those not yet reached,
 so m linked ones cost few passes and give at most m - 1 edges (a spanning forest
@@ -60,10 +61,14 @@ SHINGLE, SEED, BITS = 4, 42, 4
 #: Byte positions that two linked fingerprints share at least.
 MATCHES = 8 - BITS
 CHOICES = list(combinations(range(8), MATCHES))
-#: The sampled fingerprint: words of a shingle, similarity looked for, bytes, shared bytes, groups of four bytes in the index.
-WORDS, SIMILARITY, SAMPLES, SHARED, GROUPS = 5, 0.8, 128, 97, 10
+#: The wide fingerprint: words of a shingle, similarity looked for, bytes, bytes that links share, bits in which they may differ.
+WORDS, SIMILARITY, WIDE, WIDE_MATCHES, WIDE_BITS = 5, 0.8, 64, 5, 86
+#: Bytes, shared bytes, groups of ``sampled_fingerprint``.
+SAMPLES, SHARED, GROUPS = 128, 97, 10
 #: Members from which on a list is searched in tiles.
 LIMIT = 20_000
+#: Members up to which wide lists are compared all pairs at once, many lists together.
+SMALL = 32
 #: Linked fingerprints that a task joins up before it hands on what it knows.
 HELD = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +104,7 @@ _ORDERS = _orders()
 
 
 def sampled_fingerprint(text: bytes, shingle: int = WORDS) -> np.ndarray:
-    """``SAMPLES`` bytes; byte i is one of the hash of the shingle that is least in order i."""
+    """``SAMPLES`` bytes; byte i is one of the hash of the shingle that is least in order i.  Not a SimHash; no stage uses it."""
     hashes = shingle_hashes(text, shingle)
     if not len(hashes):
         return np.zeros(SAMPLES, np.uint8)
@@ -109,6 +114,26 @@ def sampled_fingerprint(text: bytes, shingle: int = WORDS) -> np.ndarray:
     return (((least ^ (least >> np.uint64(32))) * _ODD) >> np.uint64(56)).astype(np.uint8)
 
 
+_STEPS = np.array([(i + 1) * int(_ODD) & (1 << 64) - 1 for i in range(WIDE // 8)], np.uint64)
+
+
+def _drawn_out(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` bytes for each hash: the generator SplitMix64 from it on."""
+    x = hashes[:, None] + _STEPS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.uint8)
+
+
+def wide_fingerprint(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """``WIDE`` bytes: a bit is 1 if it is set in over half of the distinct shingles' drawn-out hashes."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    counts = np.zeros(8 * WIDE, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        counts += np.unpackbits(_drawn_out(hashes[at : at + 255]), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the signed long of every whole text's fingerprint."""
     kind = docs.schema[id_column].dataType.simpleString()
@@ -121,13 +146,13 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def sampled_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = WORDS) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = WORDS) -> DataFrame:
     """(doc_id, h, fp, bytes): ``h`` is a hash of the text, ``fp`` one of the bytes."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [sampled_fingerprint(t, shingle).tobytes() for t in texts(batch.column(2))]
+            found = [wide_fingerprint(t, shingle).tobytes() for t in texts(batch.column(2))]
             fp = np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(found, pa.binary())], names=["doc_id", "h", "fp", "bytes"])
 
@@ -154,10 +179,11 @@ def index(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def sampled_index(distinct: DataFrame) -> DataFrame:
-    """(key, fp, bytes): the same by groups of four sampled bytes."""
-    keys = [F.concat(F.lit(f"{g:02x}"), F.hex(F.substring("bytes", 4 * g + 1, 4))) for g in range(GROUPS)]
-    return distinct.select(F.explode(F.array(*[F.conv(k, 16, 10).cast("long") for k in keys])).alias("key"), "fp", "bytes")
+def wide_index(distinct: DataFrame) -> DataFrame:
+    """(key, fp, bytes): the same by two neighbouring positions in a ring; a key is a hash, lists that share one are told by verification."""
+    ring = F.concat("bytes", F.substring("bytes", 1, 1))
+    keys = [F.xxhash64(F.lit(i), F.substring(ring, i + 1, 2)) for i in range(WIDE)]
+    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "bytes")
 
 
 # ---------------------------------------------------------------- lists
@@ -170,9 +196,22 @@ def _near_bits(pivot: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return near[np.bitwise_count(differ[near]).sum(1) <= BITS]
 
 
-def _near_samples(pivot: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Which of the rest share enough bytes with the pivot."""
-    return np.flatnonzero((rest == pivot).sum(1) >= SHARED)
+def _near_wide(pivot: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The same for wide fingerprints."""
+    differ = rest ^ pivot
+    near = np.flatnonzero((differ == 0).sum(-1) >= WIDE_MATCHES)
+    return near[np.bitwise_count(differ[near]).sum(-1, dtype=np.int64) <= WIDE_BITS]
+
+
+def _near_pairs(found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (rows a, rows b) within many short lists of wide fingerprints, each the rows from its start to its end."""
+    sizes = ends - starts
+    rows = np.repeat(ends - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+    last = np.repeat(ends, sizes)
+    for apart in range(1, int(sizes.max(initial=0))):
+        rows, last = rows[rows + apart < last], last[rows + apart < last]
+        near = _near_wide(found[rows], found[rows + apart])
+        yield rows[near], rows[near] + apart
 
 
 def _forest(names: np.ndarray, found: np.ndarray, near: Callable) -> Iterator[tuple[int, list[int]]]:
@@ -222,9 +261,9 @@ def _rows(keys, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()) if len(keys) else pa.nulls(len(a), pa.int64()), a, pa.array(b, pa.int64()) if len(b) else pa.nulls(len(a), pa.int64())], names=["key", "a", "b"])
 
 
-def _search(sampled: bool, limit: int | None):
+def _search(wide: bool, limit: int | None):
     """From rows (key, fp[, bytes]) sorted by key to edges, and to members of lists over the limit."""
-    near = _near_samples if sampled else _near_bits
+    near = _near_wide if wide else _near_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, key, held, size = _Joined(), None, [], 0
@@ -241,11 +280,18 @@ def _search(sampled: bool, limit: int | None):
             if not len(batch):
                 continue
             keys, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SAMPLES) if sampled else names.view(np.uint8).reshape(-1, 8)
+            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE) if wide else names.view(np.uint8).reshape(-1, 8)
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             lengths = np.diff(cuts)
             # lists of one member that neither begin nor end the batch have no pair
             some = np.flatnonzero((lengths > 1) | (np.arange(len(lengths)) == 0) | (np.arange(len(lengths)) == len(lengths) - 1))
+            if wide:
+                inner = some[(some > 0) & (some < len(lengths) - 1)]
+                short = inner[lengths[inner] <= SMALL]
+                for a, b in _near_pairs(found, cuts[short], cuts[short + 1]):
+                    for x, y in zip(names[a].tolist(), names[b].tolist(), strict=True):
+                        known.join(x, y)
+                some = np.setdiff1d(some, short)
             for i in some.tolist():
                 part = slice(int(cuts[i]), int(cuts[i + 1]))
                 if keys[part.start] != key:
@@ -268,14 +314,14 @@ def _search(sampled: bool, limit: int | None):
 _FOUND = "key long, a long, b long"
 
 
-def _searched(listed: DataFrame, sampled: bool, limit: int | None) -> DataFrame:
-    return listed.repartition("key").sortWithinPartitions("key").mapInArrow(_search(sampled, limit), _FOUND)
+def _searched(listed: DataFrame, wide: bool, limit: int | None) -> DataFrame:
+    return listed.repartition("key").sortWithinPartitions("key").mapInArrow(_search(wide, limit), _FOUND)
 
 
-def links(distinct: DataFrame, sampled: bool = False, limit: int = LIMIT) -> DataFrame:
+def links(distinct: DataFrame, wide: bool = False, limit: int = LIMIT) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that are linked."""
-    listed = sampled_index(distinct) if sampled else index(distinct)
-    found = _searched(listed, sampled, limit).checkpoint()
+    listed = wide_index(distinct) if wide else index(distinct)
+    found = _searched(listed, wide, limit).checkpoint()
     edges, long = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
     if not long.limit(1).count():
         return edges
@@ -283,9 +329,9 @@ def links(distinct: DataFrame, sampled: bool = False, limit: int = LIMIT) -> Dat
     block = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks"))
     tiles = long.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = tiles.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
-    if sampled:
+    if wide:
         tiles = tiles.join(distinct.select("fp", "bytes"), "fp").select("key", "fp", "bytes")
-    return edges.union(_searched(tiles, sampled, None).select("a", "b"))
+    return edges.union(_searched(tiles, wide, None).select("a", "b"))
 
 
 # ---------------------------------------------------------------- groups
@@ -326,10 +372,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns: one of each group of texts alike."""
     ensure_checkpoint_dir(docs.sparkSession)
-    marked = sampled_fingerprints(docs, id_column, text_column, shingle).checkpoint()
+    marked = wide_fingerprints(docs, id_column, text_column, shingle).checkpoint()
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     distinct = marked.groupBy("fp").agg(F.min(row).alias("row"), F.first("bytes").alias("bytes"))
-    edges = links(_spread(distinct.select("fp", "bytes")), sampled=True)
+    edges = links(_spread(distinct.select("fp", "bytes")), True)
     classes = _classes(distinct, edges, F.struct("row", "fp"))
     gone = marked.join(classes, F.col("fp") == F.col("own")).where(row != F.col("first.row"))
     own, text, twin = unused(docs, 3)

@@ -159,6 +159,85 @@ def test_similar_texts_share_bytes():
     assert (simhash.sampled_fingerprint(b"") == 0).all()
 
 
+def brute_wide(text):
+    """512 bits: the majority of the distinct five-word shingles' hashes, each continued by SplitMix64."""
+    words = text.encode().lower().split()
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))} if words else set()
+    counts, cut = [0] * 512, 2**64 - 1
+    for h in hashes:
+        for word in range(8):
+            x = (h + (word + 1) * 0x9E3779B97F4A7C15) & cut
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & cut
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & cut
+            for byte, value in enumerate((x ^ x >> 31).to_bytes(8, "little")):
+                for bit in range(8):
+                    counts[64 * word + 8 * byte + bit] += value >> 7 - bit & 1
+    return bytes(sum((2 * counts[8 * b + i] > len(hashes)) << 7 - i for i in range(8)) for b in range(64))
+
+
+def test_keep_first_takes_the_majority_and_the_bits_that_differ(spark):
+    """Against brute force over fingerprints, similarities near the bound included."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            other = list(words)
+            for at in rng.sample(range(len(words)), rng.randrange(1, len(words) // 12)):
+                other[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(other))
+    marks = [brute_wide(t) for t in texts]
+    assert all(simhash.wide_fingerprint(t.encode()).tobytes() == m for t, m in zip(texts[:20], marks, strict=False))
+    assert not simhash.wide_fingerprint(b"").any()
+    union = Union()
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks[:i]):
+            same = [x == y for x, y in zip(a, b, strict=True)]
+            listed = any(same[k] and same[(k + 1) % 64] for k in range(64))
+            if listed and sum(same) >= 5 and (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= 86:
+                union.join(i, j)
+    want = {union.find(i) for i in range(len(texts))}
+    assert 25 < len(want) < 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == want
+
+
+def test_short_and_long_wide_lists_give_the_same_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (6, simhash.WIDE), np.uint8)
+    found = base[rng.integers(0, 6, 90)] ^ np.where(rng.random((90, simhash.WIDE)) < 0.4, 1 << rng.integers(0, 8, (90, simhash.WIDE)), 0).astype(np.uint8)
+    cuts = np.array([0, 1, 4, 36, 38, 90])
+    short = Union()
+    for a, b in simhash._near_pairs(found, cuts[:-1], cuts[1:]):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            short.join(x, y)
+    long = Union()
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        for x, hit in simhash._forest(np.arange(start, end), found[start:end], simhash._near_wide):
+            for y in hit:
+                long.join(x, y)
+    assert [short.find(i) for i in range(90)] == [long.find(i) for i in range(90)]
+    assert len({long.find(i) for i in range(90)}) < 60
+
+
+def test_similar_texts_differ_in_few_bits():
+    rng = random.Random(3)
+    caught = defaultdict(list)
+    for _ in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(300), rng.randrange(1, 16)):
+            other[at] = "x"
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (words, other)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        a, b = (simhash.wide_fingerprint(" ".join(w).encode()) for w in (words, other))
+        listed = ((a == b) & (np.roll(a, -1) == np.roll(b, -1))).any()
+        caught[int(similarity * 20) / 20].append(bool(listed and len(simhash._near_wide(a, b[None]))))
+    share = {k: sum(v) / len(v) for k, v in caught.items()}
+    assert share[0.8] > 0.9 and share[0.85] > 0.98 and share[0.9] == 1 and share.get(0.6, 0) < 0.1
+
+
 def test_every_link_meets_in_the_index():
     rng = random.Random(1)
     for _ in range(300):
