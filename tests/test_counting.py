@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,3 +62,29 @@ def test_the_grown_set_has_no_unique_row(spark):
     df = spark.range(400).select("id", (F.col("id") % 200).alias("a"), (F.col("id") % 7 * 0).alias("b"), (F.col("id") % 4).alias("c"), (F.col("id") % 100).alias("d"))
     assert counting.grown_empty_set(df, counting.kinds_of(df)) == 0b11110
     assert counting.grown_empty_set(df.select("id", "a", "b"), [400, 200, 1]) == 0
+
+
+def test_blocks_of_columns_hold_every_row_once_and_give_the_counts(monkeypatch):
+    monkeypatch.setattr(counting, "TASK_ROWS", 30)
+    draw = random.Random(7)
+    rows = [(p % 5, p, draw.choice(["x", "y", None]), draw.choice([0.0, 1.5])) for p in (draw.randrange(40) for _ in range(200))]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(["bucket", "0", "1", "2"], map(list, zip(*rows[i : i + 20], strict=True)), strict=True))) for i in range(0, 200, 20)]
+    blocks = list(counting._dealt(iter(batches)))
+    assert len(blocks) == 5 and all(len(b) == 5 for b in blocks)
+    back = [(k, *r.values()) for b in blocks for k, x in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True) for r in pa.ipc.open_stream(x).read_all().to_pylist()]
+    assert sorted(map(str, back)) == sorted(map(str, rows))
+    sets, found = [[0, 1], [0, 2], [0, 1, 2]], [0, 0, 0]
+    for batch in counting._counter(sets)(iter(blocks)):
+        found = [a + b for a, b in zip(found, batch[1].to_pylist(), strict=True)]
+    keys = lambda s: [k for r in rows if None not in (k := tuple(r[1 + i] for i in s))]
+    assert found == [sum(n == 1 for n in Counter(keys(s)).values()) for s in sets]
+
+
+def test_a_set_is_grown_from_columns_of_many_values(spark):
+    """Neither of the keys joins; before, growth began at the columns with the fewest values, with a scan for each step."""
+    df = spark.range(1200).select("id", (F.col("id") * 7 % 1200).alias("key"), (F.col("id") % 300).alias("a"), (F.col("id") % 2).alias("b"), (F.col("id") % 100).alias("c"))
+    seen, coverage = [], counting.coverage
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(counting, "coverage", lambda *a: seen.append(a) or coverage(*a))
+        assert counting.grown_empty_set(df, [1200, 1200, 300, 2, 100]) == 0b11100
+    assert len(seen) == 1
